@@ -31,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nestq.llm.common import arrow_map, table
 
@@ -236,7 +237,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, text: str = "t
 
     schema = kept.drop("_bpe_text").schema
     for name, kind in made:
-        schema = schema.add(name, {"int64": "bigint", "string": "string"}.get(str(kind), "array<int>"))
+        schema = schema.add(name, {"int64": T.LongType(), "string": T.StringType()}.get(str(kind), T.ArrayType(T.IntegerType())))
     return arrow_map(kept, run, schema)
 
 
