@@ -1,7 +1,7 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary made of text in that language.  A text is put
-in lower case and cut into blocks, every block is compressed with each dictionary, and the language with the smallest total
+in lower case, its letters are kept, and it is cut into blocks, every block is compressed with each dictionary, and the language with the smallest total
 wins; cutting keeps the dictionary's part in the result the same for long texts, whose own past would
 otherwise do its work.  The whole text counts.  The score is the margin: how much smaller the best
 total is than the second best, as a share of the latter.  Texts with a margin below ``least_margin``
@@ -30,12 +30,14 @@ from pyspark.sql import types as T
 from nestq.llm.common import arrow_map, fold, table
 
 LETTER = re.compile(r"[^\W\d_]")
+#: What is not a letter becomes one space before compression, so that marks and digits don't break matches.
+OTHER = re.compile(r"[\W\d_]+")
 DOCS_PER_LANGUAGE = 400
 PIECE_BYTES = 600
 DICTIONARY_BYTES = 96 << 10
-BLOCK = 2048
-LEVEL = 3
-LEAST_MARGIN = 0.02
+BLOCK = 1024
+LEVEL = 9
+LEAST_MARGIN = 0.005
 UNKNOWN = "und"
 
 
@@ -56,11 +58,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     made: dict[str, bytes] = {}
     for name in sorted(counts):
         pieces = sorted((r["h"], r["piece"]) for r in sample if r["lang"] == name)[:docs_per_language]
-        data = "\n".join(p for _, p in reversed(pieces)).lower().encode()
+        data = normal(" ".join(p for _, p in reversed(pieces)))
         made[name] = data[-dictionary_bytes:]
     return made
 
 
+def normal(text: str) -> bytes:
+    return OTHER.sub(" ", text.lower()).encode()
+
+
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], block: int = BLOCK, level: int = LEVEL):
         self.names, self.block, self.machines = sorted(dictionaries), block, []
@@ -72,7 +78,7 @@ class Classifier:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.names or not LETTER.search(text):
             return UNKNOWN, 0.0
-        data = text.lower().encode()
+        data = normal(text)
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
         sizes = sorted((sum(len(press(b)) for b in blocks), name) for press, name in zip(self.machines, self.names, strict=True))
         if len(sizes) == 1:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from nestq.llm import bpe_stream
+from nestq.llm import bpe_stream, language_id, line_dedup, quality_rules, secret_scan
 
-_QUERIES = [bpe_stream.op8_bpe_stream]
+_QUERIES = [
+    language_id.op4_language_id,
+    secret_scan.op5_secret_scan,
+    quality_rules.op6_quality_rules,
+    bpe_stream.op8_bpe_stream,
+    line_dedup.op9_line_dedup,
+]
 
 
 def queries() -> dict:
@@ -12,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": line_dedup.ORACLE}
