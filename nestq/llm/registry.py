@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nestq.llm import bpe_stream, language_id, line_dedup, quality_rules, secret_scan
+from nestq.llm import bpe_stream, language_id, line_dedup, quality_rules, secret_scan, substring_dedup
 
 _QUERIES = [
     language_id.op4_language_id,
@@ -10,6 +10,7 @@ _QUERIES = [
     quality_rules.op6_quality_rules,
     bpe_stream.op8_bpe_stream,
     line_dedup.op9_line_dedup,
+    substring_dedup.op10_substring_dedup,
 ]
 
 
