@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from nestq.llm import bpe_stream, language_id, line_dedup, quality_rules, secret_scan, substring_dedup
+from nestq.llm import bpe_stream, decontaminate, language_id, line_dedup, near_dedup, quality_rules, secret_scan, substring_dedup
 
 _QUERIES = [
+    near_dedup.op3_near_dedup,
     language_id.op4_language_id,
     secret_scan.op5_secret_scan,
     quality_rules.op6_quality_rules,
+    decontaminate.op7_decontaminate,
     bpe_stream.op8_bpe_stream,
     line_dedup.op9_line_dedup,
     substring_dedup.op10_substring_dedup,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE}
+    return {"op7_decontaminate": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
