@@ -271,6 +271,11 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
 
     Of rows that repeat the component's id all are kept; ``deduplicate`` keeps one.
     """
+    return _linked(docs, text, key, shingle, threshold_percent).drop("_nd_row", "_nd_root")
+
+
+def _linked(docs: DataFrame, text: str, key: str, shingle: int, threshold_percent: int) -> DataFrame:
+    """``link``'s result with _nd_row (hash of id and text) and _nd_root (component, null for empty sets)."""
     made = ["n_shingles", "component_id", "kept"]
     least = least_matches(threshold_percent / 100)
     others = [c for c in docs.columns if c != text and c not in made]
@@ -295,12 +300,27 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
         roots = cut(components(links), "near-roots")
     rooted = classes.select("c", "lowest").join(roots, "c", "left").select("c", "lowest", F.coalesce("root", "c").alias("root"))
     names = rooted.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    known = rooted.join(names, "root").select(F.col("c._nd_c1").alias("_nd_c1"), F.col("c._nd_c2").alias("_nd_c2"), "component_id")
+    known = rooted.join(names, "root").select(F.col("c._nd_c1").alias("_nd_c1"), F.col("c._nd_c2").alias("_nd_c2"), "component_id", F.col("root").alias("_nd_root"))
     joined = features.join(known, ["_nd_c1", "_nd_c2"], "left")
     id_ = F.col(f"`{key}`")
     component = F.when(F.col("_nd_n") == 0, id_).otherwise(F.col("component_id"))
-    out = joined.select(*(F.col(f"`{c}`") for c in others), "_nd_row", F.col("_nd_n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", id_.eqNullSafe(F.col("component_id"))).drop("_nd_row")
+    out = joined.select(*(F.col(f"`{c}`") for c in others), "_nd_row", "_nd_root", F.col("_nd_n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", id_.eqNullSafe(F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: the one with the smallest id.
+
+    Texts without words all stay, except that a row which repeats id and text stays once.
+    """
+    linked = cut(_linked(docs.select(key, text), text, key, shingle, threshold_percent).select("_nd_row", "_nd_root", F.col(f"`{key}`").alias("_nd_key")), "near-linked")
+    first = linked.where(F.col("_nd_root").isNotNull()).groupBy("_nd_root").agg(F.min(F.struct(F.col("_nd_key").isNull(), "_nd_key", "_nd_row")).alias("f")).select("f._nd_row")
+    stay = first.unionByName(linked.where(F.col("_nd_root").isNull()).select("_nd_row"))
+    marked = docs.withColumn("_nd_row", F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit("\x00"), F.col(f"`{text}`").cast("string")))
+    out = marked.join(stay, "_nd_row", "left_semi")
+    if not linked.groupBy("_nd_row").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["_nd_row"])
+    return out.select(*docs.columns)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

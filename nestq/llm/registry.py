@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from nestq.llm import bpe_stream, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality_rules, secret_scan, substring_dedup
+from nestq.llm import bpe_stream, decontaminate, html_extract, language_id, line_dedup, lm_score, near_dedup, quality_rules, secret_scan, substring_dedup
 
 _QUERIES = [
     lm_score.op1_lm_score,
+    html_extract.op2_html_extract,
     near_dedup.op3_near_dedup,
     language_id.op4_language_id,
     secret_scan.op5_secret_scan,

@@ -72,3 +72,11 @@ def test_empty_table_and_null_ids(spark):
 def test_bayesian_bound():
     least = nd.least_matches(0.85)
     assert least[0] == 0 and least[nd.SIGNATURE] < 0.85 * nd.SIGNATURE and all(a <= b for a, b in zip(least, least[1:]))
+
+
+def test_deduplicate_keeps_one_row_of_each_component(spark, prose):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(5, a, "x"), (3, a + " more", "y"), (3, a + " more", "y"), (7, b, "z"), (None, b, "n"), (8, "", "e"), (9, None, "e"), (None, prose(4, 50), "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = sorted((r.doc_id or 0, r.kept) for r in nd.deduplicate(df).collect())
+    assert got == [(0, "n"), (3, "y"), (7, "z"), (8, "e"), (9, "e")]
