@@ -1 +1 @@
-"""Part of nestq."""
+"""Operators with a compiler of their own."""

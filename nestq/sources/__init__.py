@@ -1 +1 @@
-"""Part of nestq."""
+"""Table functions over files."""
