@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word contracts: space and U+0009 to U+000D, which is what bytes.split() uses.
 WHITE = b" \t\n\x0b\x0c\r"
-#: Rows that a task hands to vectorised code at once are cut so that their texts stay below this.
-CHUNK_BYTES = 4 << 20
+#: Rows that a task hands to vectorised code at once are cut so that their arrays stay in cache.
+CHUNK_BYTES = 256 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

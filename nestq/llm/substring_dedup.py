@@ -16,8 +16,8 @@ on the input.
     which derives the common prefixes of neighbouring suffixes by increasing value and stops at
     ``min_bytes``.  Neighbours without a value by then share a window; of each class of equal windows
     all but the earliest are covered.  Groups with more than ``GROUP_ROWS`` distinct segments don't
-    fit a block: their windows are hashed (128 bits) and the earliest of each class found by a partial
-    aggregate.
+    fit a block: their windows are hashed (128 bits), range-partitioned by hash, sorted and streamed.
+    Segments that share no half window to either side of the anchor with another are left out before.
 4.  Covered ranges are merged per document and cut out.
 
 Null and empty texts have no bytes.  Rows that repeat id and text are one document.  Rows that share
@@ -43,7 +43,7 @@ from nestq.llm.common import arrow_map, as_bytes, batch, chunks, cut, small_enou
 MIN_BYTES = 100
 KGRAM = 32
 #: Distinct segments of one anchor that are expanded in a block; larger groups are hashed.
-GROUP_ROWS = 2000
+GROUP_ROWS = 8000
 BLOCK_BYTES = 1 << 20
 BROADCAST_GROUPS = 100_000
 NULL_ID = -(1 << 63)
@@ -52,11 +52,13 @@ POSITION_BITS = 28
 ANCHORS = pa.schema([("_sd_h", pa.int64()), ("_sd_seg", pa.int64()), ("_sd_id", pa.int64()), ("_sd_crc", pa.int64()), ("_sd_at", pa.int64())])
 MARKS = pa.schema([("_sd_kind", pa.int32()), ("_sd_h", pa.int64()), ("_sd_id", pa.int64()), ("_sd_crc", pa.int64()), ("_sd_at", pa.int64())])
 RANGES = pa.schema([("_sd_id", pa.int64()), ("_sd_crc", pa.int64()), ("_sd_from", pa.int64()), ("_sd_to", pa.int64())])
+WINDOWS = pa.schema([("_sd_w1", pa.int64()), ("_sd_w2", pa.int64()), ("_sd_id", pa.int64()), ("_sd_crc", pa.int64()), ("_sd_from", pa.int64())])
+LATER = pa.schema([*WINDOWS, ("_sd_end", pa.bool_())])
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {"int64": "bigint", "int32": "int", "binary": "binary"}
+    names = {"int64": "bigint", "int32": "int", "binary": "binary", "bool": "boolean"}
     return ", ".join(f"{f.name} {names[str(f.type)]}" for f in schema)
 
 
@@ -279,53 +281,110 @@ def block_ranges(segments: list[bytes], ids: np.ndarray, crcs: np.ndarray, start
     return segment[cut_at], place[cut_at], place[np.concatenate([np.flatnonzero(cut_at)[1:] - 1, [len(place) - 1]])] + least
 
 
+def promising(rows: list[tuple[int, int, int, int, int, bytes]], least: int) -> list[int]:
+    """Rows that may share a window: a window reaches half of what isn't the anchor to one side at least,
+    and there another segment of the group must be equal.  Rows: (anchor, id, crc, start, place, bytes)."""
+    half, digest = (least - KGRAM + 1) // 2, xxhash.xxh3_64_intdigest
+    h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    stay = np.zeros(len(rows), bool)
+    for side in (0, 1):
+        keys = np.array([digest(r[5][max(0, r[4] - half) : r[4] + KGRAM] if side else r[5][r[4] : r[4] + KGRAM + half]) for r in rows], np.uint64)
+        both = _mix(h + np.uint64(side)) + keys
+        order = np.argsort(both)
+        same = both[order][1:] == both[order][:-1]
+        stay[order[1:][same]] = True
+        stay[order[:-1][same]] = True
+    return np.flatnonzero(stay).tolist()
+
+
 def expanded(least: int):
     """Stream representatives sorted by anchor; whole groups are gathered into blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
+        group: list[tuple] = []  # rows of the present anchor
+        block: list[tuple] = []  # promising rows of whole groups
+        waiting: list[tuple] = []  # whole groups not looked at yet
         size = 0
 
-        def flush(upto: int) -> pa.RecordBatch:
-            part = held[:upto]
-            ids, crcs, starts = (np.array([r[c] for r in part], np.int64) for c in (1, 2, 3))
-            segment, start, end = block_ranges([r[4] for r in part], ids, crcs, starts, least)
-            del held[:upto]
-            return batch(RANGES, pa.array(ids[segment]), pa.array(crcs[segment]), pa.array(start), pa.array(end))
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if block:
+                ids, crcs, starts = (np.array([r[c] for r in block], np.int64) for c in (1, 2, 3))
+                segment, start, end = block_ranges([r[5] for r in block], ids, crcs, starts, least)
+                block.clear()
+                size = 0
+                yield batch(RANGES, pa.array(ids[segment]), pa.array(crcs[segment]), pa.array(start), pa.array(end))
+
+        def look() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for i in promising(waiting, least):
+                if size >= BLOCK_BYTES and block[-1][0] != waiting[i][0]:
+                    yield from flush()
+                block.append(waiting[i])
+                size += len(waiting[i][5]) + 1
+            waiting.clear()
 
-        last_group = 0  # where the last anchor's rows begin
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[-1][0] != row[0]:
-                    last_group = len(held)
-                    if size >= BLOCK_BYTES:
-                        yield flush(last_group)
-                        last_group, size = 0, 0
-                held.append(row)
-                size += len(row[4]) + 1
-        if held:
-            yield flush(len(held))
+                if group and group[0][0] != row[0]:
+                    waiting += group
+                    group = []
+                    if len(waiting) >= GROUP_ROWS:
+                        yield from look()
+                group.append(row)
+        waiting += group
+        if waiting:
+            yield from look()
+        yield from flush()
 
     return run
 
 
 def hashed_windows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("_sd_w1", pa.int64()), ("_sd_w2", pa.int64()), ("_sd_id", pa.int64()), ("_sd_crc", pa.int64()), ("_sd_from", pa.int64())])
         for b in batches:
             digests, row, place = [], [], []
-            for i, (start, seg) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            for i, (start, seg) in enumerate(zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)):
                 for o in range(len(seg) - least + 1):
                     digests.append(xxhash.xxh3_128_digest(seg[o : o + least]))
                     row.append(i)
                     place.append(start + o)
             w = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
             at = pa.array(row, type=pa.int64())
-            yield batch(schema, pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1])), b.column(1).take(at), b.column(2).take(at), pa.array(place, type=pa.int64()))
+            yield batch(WINDOWS, pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1])), b.column(1).take(at), b.column(2).take(at), pa.array(place, type=pa.int64()))
 
     return run
 
 
+def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream windows sorted by hash and place: all but the first of each hash, and the first of the runs
+    at both ends (those may have begun in the partition before)."""
+
+    def out(rows: np.ndarray, end: bool) -> pa.RecordBatch:
+        return batch(LATER, *(pa.array(np.ascontiguousarray(rows[:, c])) for c in range(5)), pa.array(np.full(len(rows), end)))
+
+    before = lead = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.stack([c.to_numpy() for c in b.columns], axis=1)
+        joined = rows if before is None else np.concatenate([before, rows])
+        same = joined[1:] == joined[:-1]
+        if before is None:
+            same = np.concatenate([np.zeros((1, 5), bool), same])
+            yield out(rows[:1], True)
+        again = same[:, :2].all(axis=1)
+        starts = np.flatnonzero(~again)
+        if len(starts):
+            lead = rows[starts[-1]][None, :]
+        later = rows[again & ~same.all(axis=1)]
+        if len(later):
+            yield out(later, False)
+        before = rows[-1:]
+    if lead is not None:
+        yield out(lead, True)
+
+
 def repeated_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id", min_bytes: int = MIN_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(_sd_id, _sd_crc, _sd_from, _sd_to): byte ranges that repeat something earlier; they may overlap."""
     if not 2 * KGRAM < min_bytes <= 2048:
@@ -347,25 +406,31 @@ def repeated_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
     fetched = source.select("_sd_id", "_sd_crc", "_sd_text").join(places, ["_sd_id", "_sd_crc"]).select("_sd_id", "_sd_crc", "_sd_text", "_sd_places")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("_sd_h", pa.int64()), ("_sd_id", pa.int64()), ("_sd_crc", pa.int64()), ("_sd_from", pa.int64()), ("_sd_bytes", pa.binary()), ("_sd_large", pa.bool_())])
+        schema = pa.schema([("_sd_h", pa.int64()), ("_sd_id", pa.int64()), ("_sd_crc", pa.int64()), ("_sd_from", pa.int64()), ("_sd_place", pa.int32()), ("_sd_bytes", pa.binary()), ("_sd_large", pa.bool_())])
         for b in batches:
             rows = []
             for id_, crc, data, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for p in wanted:
-                    _, left, right = unpack(p["_sd_at"])
-                    rows.append((p["_sd_h"], id_, crc, left, data[left:right], p["_sd_large"]))
-            yield batch(schema, *(list(zip(*rows, strict=True)) if rows else [[]] * 6))
+                    place, left, right = unpack(p["_sd_at"])
+                    rows.append((p["_sd_h"], id_, crc, left, place - left, data[left:right], p["_sd_large"]))
+            yield batch(schema, *(list(zip(*rows, strict=True)) if rows else [[]] * 7))
 
-    segments = cut(arrow_map(fetched, fetch, "_sd_h bigint, _sd_id bigint, _sd_crc bigint, _sd_from bigint, _sd_bytes binary, _sd_large boolean"), "segments")
+    segments = cut(arrow_map(fetched, fetch, "_sd_h bigint, _sd_id bigint, _sd_crc bigint, _sd_from bigint, _sd_place int, _sd_bytes binary, _sd_large boolean"), "segments")
     small = segments.where(~F.col("_sd_large")).drop("_sd_large").repartition(parts, "_sd_h").sortWithinPartitions("_sd_h")
     expanded_ranges = arrow_map(small, expanded(min_bytes), _ddl(RANGES))
     found = copies.unionByName(expanded_ranges)
     if not large.isEmpty():
         big = segments.where("_sd_large").drop("_sd_large")
-        windows = cut(arrow_map(big, hashed_windows(min_bytes), "_sd_w1 bigint, _sd_w2 bigint, _sd_id bigint, _sd_crc bigint, _sd_from bigint"), "windows")
+        names = [f.name for f in WINDOWS]
+        windows = arrow_map(big, hashed_windows(min_bytes), _ddl(WINDOWS)).repartitionByRange(parts, *names).sortWithinPartitions(*names)
+        seen = cut(arrow_map(windows, later_windows, _ddl(LATER)), "windows")
+        # Leads of the runs at the partitions' ends, two rows for each: all but a window's very first are later ones.
+        keys = ["_sd_w1", "_sd_w2"]
         where = F.struct("_sd_id", "_sd_crc", "_sd_from")
-        first = windows.groupBy("_sd_w1", "_sd_w2").agg(F.min(where).alias("_sd_first"), F.count("*").alias("_sd_n")).where("_sd_n > 1").drop("_sd_n")
-        later = windows.join(first, ["_sd_w1", "_sd_w2"]).where(where != F.col("_sd_first"))
+        ends = seen.where("_sd_end")
+        first = ends.groupBy(*keys).agg(F.min(where).alias("_sd_first"))
+        more = ends.join(F.broadcast(first), keys).where(where != F.col("_sd_first"))
+        later = seen.where("not _sd_end").select("_sd_id", "_sd_crc", "_sd_from").unionByName(more.select("_sd_id", "_sd_crc", "_sd_from"))
         found = found.unionByName(later.select("_sd_id", "_sd_crc", "_sd_from", (F.col("_sd_from") + min_bytes).alias("_sd_to")))
     return found
 
