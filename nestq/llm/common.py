@@ -42,13 +42,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, files survive executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nestq-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is written now
+    release(spark)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
