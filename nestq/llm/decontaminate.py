@@ -29,6 +29,7 @@ WINDOW = 8
 LEAST_WORDS = 4
 COVERAGE = 0.6
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_KEYS = 500_000
 #: Units that count as such after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml l s sec min h hr hours minutes seconds days weeks months years percent c f k usd eur gbp dollars euros cents kb mb gb tb hz khz mhz ghz w kw v a j n pa mph kmh meters metres kilometers grams kilograms pounds miles feet inches liters litres".split()
 _NAME = "\u0001"
@@ -36,7 +37,7 @@ _NAME = "\u0001"
 
 def tokens(text: Column) -> Column:
     """Tokens in lower case; names still carry their mark."""
-    marked = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"([\p{Ll}\p{N}],? )(\p{Lu})", "$1" + _NAME + "$2")
+    marked = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"([\p{Ll}\p{N}],?[ \t\n\r])(\p{Lu})", "$1" + _NAME + "$2")
     plain = F.trim(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}" + _NAME + "]+", " "))
     return F.filter(F.split(plain, " "), lambda t: t != "")
 
@@ -79,8 +80,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     covered = sets.withColumn("n_covered", F.expr(f"aggregate({gaps}, {WINDOW}, (s, x) -> s + x)"))
     items = benchmark.select(F.col(f"`{item}`").alias("item"), tokens(F.col(f"`{item_text}`")).alias("iv")).withColumn("it", template("iv")).where(F.size("it") >= WINDOW).dropDuplicates(["item", "iv"])
     chosen = covered.join(items.select(F.col("item").alias("item2"), "iv", "it"), F.col("item").eqNullSafe(F.col("item2"))).drop("item2").where(F.col("n_covered") >= coverage * F.size("it"))
-    # What is left is about as many rows as there are leaks; the size seen at run time decides how they meet their texts.
-    values = source.dropDuplicates(["id", "text_hash"]).select(F.col("id").alias("id2"), F.col("text_hash").alias("hash2"), F.col("v"))
+    chosen = cut(chosen, "benchmark-candidates")
+    # Only the candidates' documents are read again: their keys go to the scan if they are few, else both meet in a join.
+    keys = chosen.select(F.col("id").alias("id3"), F.col("text_hash").alias("hash3")).distinct()
+    keys = F.broadcast(keys) if small_enough(keys, BROADCAST_KEYS) else keys
+    again = docs.select(F.col(f"`{key}`").alias("id2"), whole.alias("whole"), F.xxhash64(whole).alias("hash2"))
+    again = again.join(keys, null_safe([(F.col("id2"), F.col("id3"))]) & (F.col("hash2") == F.col("hash3")), "left_semi")
+    values = again.dropDuplicates(["id2", "hash2"]).select("id2", "hash2", tokens(F.col("whole")).alias("v"))
     both = chosen.join(values, null_safe([(F.col("id"), F.col("id2"))]) & (F.col("text_hash") == F.col("hash2")))
     under = f"exists(p, q -> k >= q AND k < q + {WINDOW})"
     slots = F.expr(f"transform(filter(sequence(0, size(it) - 1), k -> it[k] IN ('#', '@', '%') AND {under}), k -> struct(it[k] AS kind, iv[k] AS item_value, get(v, k + diagonal) AS value))")
@@ -96,6 +102,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
     found = contaminated(docs, benchmark, text, key, **options).select(F.col("id").alias("_dc_id"), F.col("text_hash").alias("_dc_hash")).distinct()
+    found = cut(found, "contaminated")
+    found = F.broadcast(found) if small_enough(found, BROADCAST_KEYS) else found
     marked = docs.withColumn("_dc_text", F.xxhash64(F.col(f"`{text}`").cast("string")))
     return marked.join(found, null_safe([(F.col(f"`{key}`"), F.col("_dc_id"))]) & (F.col("_dc_text") == F.col("_dc_hash")), "left_anti").drop("_dc_text")
 
@@ -112,7 +120,7 @@ def _oracle() -> str:
     def prepared(name: str, key: str) -> str:
         return rf"""
 {name}_v AS (
-  SELECT {key} AS key, list_filter(string_split(trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '([\p{{Ll}}\p{{N}}],? )(\p{{Lu}})', '\1' || chr(1) || '\2', 'g')), '[^\p{{L}}\p{{N}}\x01]+', ' ', 'g')), ' '), lambda t: t <> '') AS v
+  SELECT {key} AS key, list_filter(string_split(trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '([\p{{Ll}}\p{{N}}],?[ \t\n\r])(\p{{Lu}})', '\1' || chr(1) || '\2', 'g')), '[^\p{{L}}\p{{N}}\x01]+', ' ', 'g')), ' '), lambda t: t <> '') AS v
   FROM {name}
 ), {name}_t AS (
   SELECT key, v, list_transform(range(1, len(v) + 1), lambda i: CASE
