@@ -143,8 +143,8 @@ def streamed(min_docs: int, keep_first: bool):
                 if current.docs >= min_docs:
                     for held, absent, led in current.rows:
                         if keep_first and led.any():
-                            if current.first:  # whether it is the key's very first line shows next door
-                                yield marks(OPEN, held[led], absent[led], current.docs, led[led])
+                            # whether it is the key's very first line shows next door
+                            yield marks(OPEN, held[led], absent[led], current.docs, led[led])
                             held, absent = held[~led], absent[~led]
                         if len(held):
                             yield marks(DROP, held, absent)
