@@ -103,3 +103,11 @@ def null_safe(pairs: list[tuple[Column, Column]]) -> Column:
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows; looks at no more than one row beyond that."""
     return df.limit(most_rows + 1).count() <= most_rows
+
+
+def restored(cls: type, state: dict):
+    """An object of ``cls`` with these attributes.  Broadcasts carry ``vars(object)``, not the object:
+    workers may have no copy of this package, and broadcasts are pickled by reference to it."""
+    made = cls.__new__(cls)
+    made.__dict__.update(state)
+    return made

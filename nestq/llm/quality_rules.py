@@ -128,3 +128,46 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the base statistics, base_failed and the verdict of document and host."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle() -> str:
+    rules = {"base": "base_failed", **{r: rule for r, (rule, _) in RULES.items() if r != "base"}}
+    sums = ", ".join(f"CAST(count(*) FILTER ({rule}) AS DOUBLE) AS n_{r}" for r, rule in rules.items())
+    totals = ", ".join(f"sum(n_{r}) / sum(n_docs) AS m_{r}, sum(n_{r} * n_{r} / n_docs) / sum(n_docs) AS q_{r}" for r in rules)
+    spreads = ", ".join(f"q_{r} - m_{r} * m_{r} - m_{r} * (1 - m_{r}) * hosts / docs AS v_{r}" for r in rules)
+    strengths = ", ".join(f"CASE WHEN v_{r} > 0 THEN least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 1), {MOST_STRENGTH}) ELSE {MOST_STRENGTH} END AS s_{r}" for r in rules)
+    failed = " OR ".join(f"(n_{r} + s_{r} * m_{r}) / (n_docs + s_{r}) > {limit}" for r, (_, limit) in RULES.items())
+    return rf"""
+WITH split AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), grams AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n
+  FROM (SELECT doc_id, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM split WHERE len(w) >= {WINDOW}))
+), covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS k FROM grams WHERE n > 1) GROUP BY doc_id
+), stats AS (
+  SELECT s.doc_id, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         len(lines) AS n_lines_with_words, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stats
+), hosts AS (
+  SELECT source AS host, CAST(count(*) AS DOUBLE) AS n_docs, {sums} FROM judged WHERE source IS NOT NULL GROUP BY source
+), totals AS (
+  SELECT count(*) AS hosts, sum(n_docs) AS docs, {totals} FROM hosts
+), spreads AS (SELECT *, {spreads} FROM totals), strengths AS (SELECT *, {strengths} FROM spreads), failed AS (
+  SELECT host FROM hosts, strengths WHERE {failed}
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND host IS NULL AS kept
+FROM judged LEFT JOIN failed ON source = host
+"""
+
+
+ORACLE = _oracle()

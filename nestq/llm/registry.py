@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op6_quality_rules": quality_rules.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
