@@ -12,10 +12,11 @@ Two documents are linked if the Jaccard similarity of their word-shingle sets is
     probability that it reaches the threshold falls below ``MISS``.  Survivors are verified exactly on
     their full sets.
 4.  Components of verified links by alternating large-star and small-star steps, on DataFrames.
-5.  Similarity isn't transitive, so a star alone could lose a link.  In buckets which still hold several
-    components, all pairs of different components are compared by blocks of bounded size (no pair is
-    emitted that the Bayesian bound rejects), survivors are verified, and components are updated.
-    Pairs inside one component can't change the result and aren't looked at.
+5.  Similarity isn't transitive, so a star alone could lose a link.  Buckets which still hold several
+    components are compared by pairs of blocks of bounded size, with their full sets at hand: pairs of
+    different components that pass the sequential test are verified exactly there, and a block returns
+    the links that join components, at most one less than its rows.  Pairs inside one component can't
+    change the result and aren't looked at; a pair is left to the first band that it shares.
 
 A pair at the threshold of 0.85 misses every band with probability (1 - 0.85^5)^25 < 5e-7.
 
@@ -160,9 +161,9 @@ CLASS = "struct<_nd_c1:bigint,_nd_c2:bigint>"
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, c) for each class and band."""
+    """(bucket, band, c) for each class and band."""
     banded = classes.select("c", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    return banded.select(F.xxhash64("band", F.substring("sig", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"), "c")
+    return banded.select(F.xxhash64("band", F.substring("sig", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"), "band", "c")
 
 
 def passed(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
@@ -180,10 +181,9 @@ def passed(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
     return arrow_map(both, run, f"a {CLASS}, b {CLASS}")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold.  members: (c, place), a row of ``docs`` for each class."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    places = members.join(needed, "c")
+def full_sets(needed: DataFrame, docs: DataFrame, members: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(c, shingles) of the classes in ``needed``.  members: (c, place), a row of ``docs`` for each class."""
+    places = members.join(needed.distinct(), "c")
     texts = docs.select("_nd_row", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_nd_text")).join(places.select(F.col("place").alias("_nd_row"), "c"), "_nd_row").select("c", "_nd_text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,18 +198,27 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str, s
                     stay.append(i)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(stay, pa.int64())), pa.array(found, pa.binary())], names=["c", "shingles"])
 
-    full = cut(arrow_map(texts, shingled, f"c {CLASS}, shingles binary"), "near-sets").dropDuplicates(["c"])
+    return cut(arrow_map(texts, shingled, f"c {CLASS}, shingles binary"), "near-sets").dropDuplicates(["c"])
+
+
+def linked_sets(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets of sorted hashes reach the similarity."""
+    n, m = len(x) // 8, len(y) // 8
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    merged = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+    common = int((merged[1:] == merged[:-1]).sum())
+    return 100 * common >= percent * (n + m - common)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
+    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")), docs, members, text, shingle)
     both = pairs.join(full.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b").join(full.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stay = []
-            for i, (x, y) in enumerate(zip(as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                merged = np.sort(np.concatenate([x, y]))
-                common = int((merged[1:] == merged[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    stay.append(i)
+            stay = [i for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) if linked_sets(x, y, percent)]
             at = pa.array(stay, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
@@ -235,35 +244,45 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("c"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("root")).distinct())
 
 
-def compared(rest: DataFrame, least: list[int]) -> DataFrame:
-    """Pairs of different components in a bucket that pass the sequential test; rest: (bucket, n, c, root, sig)."""
+def compared(rest: DataFrame, least: list[int], percent: int) -> DataFrame:
+    """Verified links between components of a bucket; rest: (bucket, band, n, c, root, sig, shingles)."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int")
     dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     # block i meets every block j: a row goes to the pairs (i, j) and (j, i), once where i = j
     other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
-    spread = dealt.select("bucket", "block", "c", "root", "sig", other)
-    spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "root", "sig")
+    spread = dealt.select("bucket", "band", "block", "c", "root", "sig", "shingles", other)
+    spread = spread.select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "root", "sig", "shingles")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        block, sig = group.column("block").to_numpy(), _signatures(group.column("sig"))
-        roots = {r: k for k, r in enumerate(dict.fromkeys(map(str, group.column("root").to_pylist())))}
-        root = np.array([roots[str(r)] for r in group.column("root").to_pylist()])
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        block, sig, sets_ = group.column("block").to_numpy(), _signatures(group.column("sig")), group.column("shingles")
+        c = group.column("c")
+        roots: dict[tuple, int] = {}
+        root = np.array([roots.setdefault((r["_nd_c1"], r["_nd_c2"]), len(roots)) for r in group.column("root").to_pylist()])
+        i, j, band = group.column("i")[0].as_py(), group.column("j")[0].as_py(), group.column("band")[0].as_py()
+        earlier = sig.reshape(len(sig), BANDS, ROWS)[:, :band]
         first = np.flatnonzero(block == i)
         second = first if i == j else np.flatnonzero(block == j)
         left, right = [], []
         for p in range(len(first)):
+            me = int(first[p])
             against = first[p + 1 :] if i == j else second
-            against = against[root[against] != root[first[p]]]
-            if len(against):
-                stay = survivors(np.broadcast_to(sig[first[p]], (len(against), SIGNATURE)), sig[against], least)
-                left += [int(first[p])] * len(stay)
-                right += against[stay].tolist()
-        c = group.column("c")
+            against = against[root[against] != root[me]]
+            if not len(against):
+                continue
+            against = against[survivors(np.broadcast_to(sig[me], (len(against), SIGNATURE)), sig[against], least)]
+            if band and len(against):
+                against = against[~(earlier[against] == earlier[me]).all(axis=2).any(axis=1)]
+            likely = np.argsort(-(sig[against] == sig[me]).sum(axis=1), kind="stable")
+            mine = sets_[me].as_py()
+            for q in against[likely].tolist():
+                if root[q] != root[me] and linked_sets(mine, sets_[q].as_py(), percent):
+                    left.append(me)
+                    right.append(q)
+                    root[root == root[q]] = root[me]
         return pa.table({"a": c.take(pa.array(left, pa.int64())), "b": c.take(pa.array(right, pa.int64()))})
 
-    return spread.groupBy("bucket", "i", "j").applyInArrow(run, f"a {CLASS}, b {CLASS}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return spread.groupBy("bucket", "i", "j").applyInArrow(run, f"a {CLASS}, b {CLASS}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def link(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -290,14 +309,13 @@ def _linked(docs: DataFrame, text: str, key: str, shingle: int, threshold_percen
     stars = full.where("a != c").select("a", F.col("c").alias("b")).distinct()
     links = cut(verified(cut(passed(stars, classes, least), "near-pairs"), source, classes.select("c", "place"), text, shingle, threshold_percent), "near-links")
     roots = cut(components(links), "near-roots")
-    labelled = full.join(roots, "c", "left").select("bucket", "n", "c", F.coalesce("root", "c").alias("root"))
+    labelled = full.join(roots, "c", "left").select("bucket", "band", "n", "c", F.coalesce("root", "c").alias("root"))
     open_ = labelled.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket")
-    rest = labelled.join(open_, "bucket", "left_semi").join(classes.select("c", "sig"), "c")
-    pairs = cut(compared(rest, least), "near-rest")
-    if not pairs.isEmpty():
-        more = verified(pairs, source, classes.select("c", "place"), text, shingle, threshold_percent)
-        links = cut(links.unionByName(more), "near-links")
-        roots = cut(components(links), "near-roots")
+    rest = cut(labelled.join(open_, "bucket", "left_semi"), "near-open")
+    if not rest.isEmpty():
+        sized = full_sets(rest.select("c"), source, classes.select("c", "place"), text, shingle).join(classes.select("c", "sig"), "c")
+        more = cut(compared(rest.join(sized, "c"), least, threshold_percent), "near-rest")
+        roots = cut(components(links.unionByName(more)), "near-roots")
     rooted = classes.select("c", "lowest").join(roots, "c", "left").select("c", "lowest", F.coalesce("root", "c").alias("root"))
     names = rooted.groupBy("root").agg(F.min("lowest").alias("component_id"))
     known = rooted.join(names, "root").select(F.col("c._nd_c1").alias("_nd_c1"), F.col("c._nd_c2").alias("_nd_c2"), "component_id", F.col("root").alias("_nd_root"))
