@@ -44,7 +44,7 @@ MIN_BYTES = 100
 KGRAM = 32
 #: Distinct segments of one anchor that are expanded in a block; larger groups are hashed.
 GROUP_ROWS = 8000
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 BROADCAST_GROUPS = 100_000
 NULL_ID = -(1 << 63)
 FULL, REPRESENTATIVE = 0, 1
@@ -204,14 +204,13 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffixes(symbols: np.ndarray, least: int) -> np.ndarray:
     """Start positions of the suffixes, sorted by their first ``least`` symbols at least (9 bits each)."""
-    n, width = len(symbols), 7
+    n, width = len(symbols), 4
     padded = np.concatenate([symbols.astype(np.int64), np.zeros(width, np.int64)])
     key = np.zeros(n, np.int64)
     for j in range(width):
         key = key << 9 | padded[j : j + n]
     while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
+        order, ordered = _sorted(key)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
         if width >= least or rank[order[-1]] == n - 1:
@@ -221,6 +220,16 @@ def suffixes(symbols: np.ndarray, least: int) -> np.ndarray:
         key, width = rank * (n + 1) + follow, width * 2
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order and sorted keys; where both fit 63 bits the index rides along in one number."""
+    bits = len(key).bit_length()
+    if int(key.max()).bit_length() + bits <= 63:
+        both = np.sort(key << bits | np.arange(len(key)))
+        return both & ((1 << bits) - 1), both >> bits
+    order = np.argsort(key)
+    return order, key[order]
+
+
 def window_classes(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order, class of each): neighbours are in one class if ``least`` symbols are equal.
 
@@ -229,8 +238,8 @@ def window_classes(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     """
     n = len(symbols)
     order = suffixes(symbols, least)
-    bwt = symbols[order - 1].astype(np.int64)
-    by_symbol = np.argsort(bwt, kind="stable")
+    bwt = symbols[order - 1]
+    by_symbol = np.argsort(bwt, kind="stable")  # 16-bit numbers: a radix sort
     lf = np.empty(n, np.int64)  # symbols before in the alphabet, and equal ones before in the transform
     lf[by_symbol] = np.arange(n)
     symbol_at = bwt[by_symbol]
