@@ -20,8 +20,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many of them share."""
-    found = line_dedup.dedup_lines(docs)
+    """Documents without the lines that many of them share, each of which stays where it comes first:
+    a group of many copies keeps one document with its text."""
+    found = line_dedup.dedup_lines(docs, keep_first=True)
     return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

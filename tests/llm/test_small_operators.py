@@ -225,3 +225,14 @@ def test_pipeline_stages(spark, coders):
             for r in out.collect():
                 assert r.round_trip and r.token_ids == coders[1].encode(texts[r.doc_id] or "", add_special_tokens=False).ids
     assert counts[0] >= counts[1] == counts[2] > counts[3] >= counts[4] == counts[5] > 0
+
+
+def test_pipeline_keeps_one_text_of_many_copies(spark, prose):
+    import corpus_pipeline as cp
+
+    text = "\n".join(prose(700 + i, 12) for i in range(4))
+    rows = [(i, text, "en", "web", len(text)) for i in range(12)] + [(100 + i, prose(800 + i, 30), "en", "web", 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in cp.dedup_near(spark, cp.dedup_lines(spark, docs, ""), "").collect()}
+    assert [i for i, t in got.items() if t == text] == [0]
+    assert all(got[100 + i] == rows[12 + i][1] for i in range(5))
