@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame and SQL functions only.
 
-Texts become templates: runs of letters and digits are tokens in lower case; a token of digits becomes
-``#``, a capitalised word inside a sentence ``@`` (a name), a unit after a number ``%``.  Windows of
+Texts become templates: runs of letters and digits are tokens in lower case; a number (with its minus
+sign, separators and decimals) becomes ``#``, a run of capitalised words inside a sentence ``@`` (a
+name), a unit after a number ``%``.  Windows of
 ``WINDOW`` template tokens are hashed; the documents' windows are joined with the benchmark's.  Matches
 of a document and an item are put on diagonals (token position in the document less that in the item);
 on a diagonal the tokens covered by matching windows are counted.  Where they make up ``coverage`` of
-the item, slots are checked: over the covered placeholders, equal item values must stand for equal
+the item, or where no diagonal does so alone but those within ``BAND`` tokens do so together (words were
+inserted or left out), slots are checked: over the covered placeholders, equal item values must stand for equal
 document values.  So both verbatim copies and questions with other numbers or names are found, while
 a chance match of templates with contradictory values is not.
 
@@ -20,7 +22,7 @@ text are one document; a null id is an id.  An empty table on either side gives
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nestq.llm.common import cut, null_safe, small_enough, table
@@ -28,17 +30,25 @@ from nestq.llm.common import cut, null_safe, small_enough, table
 WINDOW = 8
 LEAST_WORDS = 4
 COVERAGE = 0.6
+#: Diagonals up to this many tokens apart count together.
+BAND = 64
 BROADCAST_WINDOWS = 1_000_000
 BROADCAST_KEYS = 500_000
 #: Units that count as such after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml l s sec min h hr hours minutes seconds days weeks months years percent c f k usd eur gbp dollars euros cents kb mb gb tb hz khz mhz ghz w kw v a j n pa mph kmh meters metres kilometers grams kilograms pounds miles feet inches liters litres".split()
 _NAME = "\u0001"
+#: Joins the parts of a number or name and stands for a minus sign.
+_JOIN = "\u0002"
+_NUMBER = r"^\x02?\p{N}+(\x02\p{N}+)*$"
 
 
 def tokens(text: Column) -> Column:
     """Tokens in lower case; names still carry their mark."""
-    marked = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"([\p{Ll}\p{N}],?[ \t\n\r])(\p{Lu})", "$1" + _NAME + "$2")
-    plain = F.trim(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}" + _NAME + "]+", " "))
+    whole = F.translate(F.coalesce(text.cast("string"), F.lit("")), _JOIN, " ")
+    marked = F.regexp_replace(whole, r"([\p{Ll}\p{N}],?[ \t\n\r])(\p{Lu})", "$1" + _NAME + "$2")
+    numbers = F.regexp_replace(F.lower(marked), r"(?<=\p{N})(?:[.,'\u2019](?=\p{N})|[\u00A0\u2009\u202F](?=\p{N}{3}(?!\p{N})))|(?<![\p{L}\p{N}])[-\u2212](?=[\p{N}.,]++(?!\p{L}))(?=\p{N})", _JOIN)
+    names = F.regexp_replace(numbers, "(" + _NAME + r"[\p{L}\p{N}]+)[ \t\n\r]+(?=" + _NAME + ")", "$1" + _JOIN)
+    plain = F.trim(F.regexp_replace(names, r"[^\p{L}\p{N}" + _NAME + _JOIN + "]+", " "))
     return F.filter(F.split(plain, " "), lambda t: t != "")
 
 
@@ -47,9 +57,9 @@ def template(column: str) -> Column:
     units = ", ".join(f"'{u}'" for u in UNITS)
     return F.expr(
         rf"""transform({column}, (t, i) -> CASE
-            WHEN t RLIKE r'^\p{{N}}+$' THEN '#'
+            WHEN t RLIKE r'{_NUMBER}' THEN '#'
             WHEN startswith(t, '{_NAME}') THEN '@'
-            WHEN t IN ({units}) AND i > 0 AND get({column}, i - 1) RLIKE r'^\p{{N}}+$' THEN '%'
+            WHEN t IN ({units}) AND i > 0 AND get({column}, i - 1) RLIKE r'{_NUMBER}' THEN '%'
             ELSE t END)"""
     )
 
@@ -77,9 +87,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     hits = placed.join(wanted, "w").select("id", "text_hash", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"))
     sets = hits.groupBy("id", "text_hash", "item", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("p"))
     gaps = f"zip_with(slice(p, 2, size(p) - 1), slice(p, 1, size(p) - 1), (b, a) -> least({WINDOW}, b - a))"
-    covered = sets.withColumn("n_covered", F.expr(f"aggregate({gaps}, {WINDOW}, (s, x) -> s + x)"))
+    n_covered = F.expr(f"aggregate({gaps}, {WINDOW}, (s, x) -> s + x)")
+    pair = Window.partitionBy("id", "text_hash", "item")
+    covered = sets.withColumn("n_covered", n_covered).withColumn("n_alone", F.max("n_covered").over(pair)).withColumn("n_all", F.sum("n_covered").over(pair))
     items = benchmark.select(F.col(f"`{item}`").alias("item"), tokens(F.col(f"`{item_text}`")).alias("iv")).withColumn("it", template("iv")).where(F.size("it") >= WINDOW).dropDuplicates(["item", "iv"])
-    chosen = covered.join(items.select(F.col("item").alias("item2"), "iv", "it"), F.col("item").eqNullSafe(F.col("item2"))).drop("item2").where(F.col("n_covered") >= coverage * F.size("it"))
+    needed = coverage * F.size("it")
+    likely = covered.join(items.select(F.col("item").alias("item2"), "iv", "it"), F.col("item").eqNullSafe(F.col("item2"))).drop("item2").where(F.col("n_all") >= needed)
+    likely = cut(likely, "benchmark-likely").withColumn("part", F.struct("n_covered", "diagonal", "p"))
+    alone = likely.where(F.col("n_covered") >= needed).withColumn("parts", F.array("part"))
+    band = Window.partitionBy("id", "text_hash", "item", "iv").orderBy("diagonal").rangeBetween(0, BAND)
+    together = likely.where(F.col("n_alone") < needed).withColumn("parts", F.sort_array(F.collect_list("part").over(band), asc=False))
+    together = together.withColumn("p", F.expr("array_sort(array_distinct(flatten(parts.p)))")).withColumn("n_covered", n_covered).where(F.col("n_covered") >= needed)
+    chosen = alone.unionByName(together).select("id", "text_hash", "item", "iv", "it", "p", "n_covered", "parts")
     chosen = cut(chosen, "benchmark-candidates")
     # Only the candidates' documents are read again: their keys go to the scan if they are few, else both meet in a join.
     keys = chosen.select(F.col("id").alias("id3"), F.col("text_hash").alias("hash3")).distinct()
@@ -88,8 +107,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     again = again.join(keys, null_safe([(F.col("id2"), F.col("id3"))]) & (F.col("hash2") == F.col("hash3")), "left_semi")
     values = again.dropDuplicates(["id2", "hash2"]).select("id2", "hash2", tokens(F.col("whole")).alias("v"))
     both = chosen.join(values, null_safe([(F.col("id"), F.col("id2"))]) & (F.col("text_hash") == F.col("hash2")))
-    under = f"exists(p, q -> k >= q AND k < q + {WINDOW})"
-    slots = F.expr(f"transform(filter(sequence(0, size(it) - 1), k -> it[k] IN ('#', '@', '%') AND {under}), k -> struct(it[k] AS kind, iv[k] AS item_value, get(v, k + diagonal) AS value))")
+    under = f"q -> k >= q AND k < q + {WINDOW}"
+    slots = F.expr(f"transform(filter(sequence(0, size(it) - 1), k -> it[k] IN ('#', '@', '%') AND exists(p, {under})), k -> struct(it[k] AS kind, iv[k] AS item_value, get(v, k + filter(parts, x -> exists(x.p, {under}))[0].diagonal) AS value))")
     checked = both.withColumn("slots", slots).where("size(array_distinct(slots)) = size(array_distinct(transform(slots, s -> struct(s.kind, s.item_value))))")
     judged = checked.select(
         "id", "text_hash", "item", F.size("p").cast("bigint").alias("n_windows"), F.col("n_covered").cast("bigint").alias("n_covered"), F.size("it").cast("bigint").alias("n_tokens"),

@@ -46,3 +46,13 @@ def test_native_only(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     plan = dc.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_values_of_other_shape_and_inserted_words(spark):
+    item = "A shop in the old town sells 450 boxes of green tea each month and pays 12 workers from Lisbon who pack them by hand until the evening comes to close the day."
+    texts = [item.replace("450", v) for v in ("300", "1,450", "45.5", "-7", "1 450")]
+    texts += [item.replace("Lisbon", "New York City"), item.replace("and pays", "and gladly pays"), item.replace("and pays 12 workers from", "and workers from")]
+    other = " ".join(reversed(item.split()))
+    got = found(spark, [*enumerate(texts), (90, other), (91, " ".join(item.split()[:15]))], ((1, item),))
+    assert set(got) == {(i, 1) for i in range(len(texts))}
+    assert [got[i, 1].n_covered for i in range(4)] == [got[0, 1].n_tokens] * 4
