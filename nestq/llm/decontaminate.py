@@ -13,7 +13,7 @@ a chance match of templates with contradictory values is not.
 
 The documents' windows are exploded without a shuffle and meet the benchmark's by a broadcast if the
 latter has at most ``BROADCAST_WINDOWS`` rows, else by a join on the hash.  A window that occurs twice
-in an item is looked for once, so repetitive texts make one row per position and item.
+in an item is looked for once and found at all its positions: each is a hit on a diagonal of its own.
 
 Windows with fewer than ``LEAST_WORDS`` plain words and items with fewer than ``WINDOW`` tokens are not
 specific enough and are not searched.  Null and empty texts match nothing.  Rows that repeat id and
@@ -69,12 +69,18 @@ def windows(column: str) -> Column:
     return F.expr(f"CASE WHEN size({column}) >= {WINDOW} THEN transform(sequence(1, size({column}) - {WINDOW - 1}), i -> xxhash64(slice({column}, i, {WINDOW}))) ELSE cast(array() AS array<bigint>) END")
 
 
+def covered_tokens(column: str) -> Column:
+    """The number of tokens in the windows at an array of sorted positions."""
+    gaps = f"zip_with(slice({column}, 2, size({column}) - 1), slice({column}, 1, size({column}) - 1), (b, a) -> least({WINDOW}, b - a))"
+    return F.expr(f"aggregate({gaps}, {WINDOW}, (s, x) -> s + x)")
+
+
 def benchmark_windows(benchmark: DataFrame, text: str, item: str) -> DataFrame:
-    """(w, item, at): each specific window of an item at its first position."""
+    """(w, item, ats): each specific window of an item and all its positions."""
     items = benchmark.select(F.col(f"`{item}`").alias("item"), tokens(F.col(f"`{text}`")).alias("v")).withColumn("t", template("v"))
     exploded = items.select("item", "t", F.posexplode(windows("t")).alias("at", "w"))
     words = F.size(F.filter(F.slice("t", F.col("at") + 1, WINDOW), lambda t: ~t.isin("#", "@", "%")))
-    return exploded.where(words >= LEAST_WORDS).groupBy("item", "w").agg(F.min("at").alias("at")).select("w", "item", "at")
+    return exploded.where(words >= LEAST_WORDS).groupBy("item", "w").agg(F.collect_set("at").alias("ats")).select("w", "item", "ats")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
@@ -84,12 +90,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     whole = F.col(f"`{text}`").cast("string")
     source = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(whole).alias("text_hash"), tokens(whole).alias("v"))
     placed = source.withColumn("t", template("v")).select("id", "text_hash", F.posexplode(windows("t")).alias("place", "w"))
-    hits = placed.join(wanted, "w").select("id", "text_hash", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"))
+    hits = placed.join(wanted, "w").select("id", "text_hash", "item", "place", F.explode("ats").alias("at")).withColumn("diagonal", F.col("place") - F.col("at"))
     sets = hits.groupBy("id", "text_hash", "item", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("p"))
-    gaps = f"zip_with(slice(p, 2, size(p) - 1), slice(p, 1, size(p) - 1), (b, a) -> least({WINDOW}, b - a))"
-    n_covered = F.expr(f"aggregate({gaps}, {WINDOW}, (s, x) -> s + x)")
     pair = Window.partitionBy("id", "text_hash", "item")
-    covered = sets.withColumn("n_covered", n_covered).withColumn("n_alone", F.max("n_covered").over(pair)).withColumn("n_all", F.sum("n_covered").over(pair))
+    covered = sets.withColumn("n_covered", covered_tokens("p")).withColumn("n_alone", F.max("n_covered").over(pair)).withColumn("n_all", F.sum("n_covered").over(pair))
     items = benchmark.select(F.col(f"`{item}`").alias("item"), tokens(F.col(f"`{item_text}`")).alias("iv")).withColumn("it", template("iv")).where(F.size("it") >= WINDOW).dropDuplicates(["item", "iv"])
     needed = coverage * F.size("it")
     likely = covered.join(items.select(F.col("item").alias("item2"), "iv", "it"), F.col("item").eqNullSafe(F.col("item2"))).drop("item2").where(F.col("n_all") >= needed)
@@ -97,8 +101,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     alone = likely.where(F.col("n_covered") >= needed).withColumn("parts", F.array("part"))
     band = Window.partitionBy("id", "text_hash", "item", "iv").orderBy("diagonal").rangeBetween(0, BAND)
     together = likely.where(F.col("n_alone") < needed).withColumn("parts", F.sort_array(F.collect_list("part").over(band), asc=False))
-    together = together.withColumn("p", F.expr("array_sort(array_distinct(flatten(parts.p)))")).withColumn("n_covered", n_covered).where(F.col("n_covered") >= needed)
-    chosen = alone.unionByName(together).select("id", "text_hash", "item", "iv", "it", "p", "n_covered", "parts")
+    together = together.withColumn("p", F.expr("array_sort(array_distinct(flatten(parts.p)))"))
+    # A passage of the document does not count for several places of the item.
+    together = together.withColumn("places", F.expr("array_sort(array_distinct(flatten(transform(parts, x -> transform(x.p, q -> q + x.diagonal)))))"))
+    together = together.withColumn("n_covered", F.least(covered_tokens("p"), covered_tokens("places"))).where(F.col("n_covered") >= needed)
+    chosen = alone.unionByName(together.drop("places")).select("id", "text_hash", "item", "iv", "it", "p", "n_covered", "parts")
     chosen = cut(chosen, "benchmark-candidates")
     # Only the candidates' documents are read again: their keys go to the scan if they are few, else both meet in a join.
     keys = chosen.select(F.col("id").alias("id3"), F.col("text_hash").alias("hash3")).distinct()

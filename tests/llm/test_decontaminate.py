@@ -56,3 +56,12 @@ def test_values_of_other_shape_and_inserted_words(spark):
     got = found(spark, [*enumerate(texts), (90, other), (91, " ".join(item.split()[:15]))], ((1, item),))
     assert set(got) == {(i, 1) for i in range(len(texts))}
     assert [got[i, 1].n_covered for i in range(4)] == [got[0, 1].n_tokens] * 4
+
+
+def test_item_whose_template_repeats(spark):
+    item = " ".join(f"The red box in the hall holds {n} pears and {m} figs for you." for n, m in ((12, 7), (31, 5), (44, 9)))
+    other = item.replace("31", "58").replace("44", "63")
+    one = " ".join(item.split()[:13])
+    got = found(spark, [(1, item), (2, other), (3, one)], ((1, item),))
+    assert set(got) == {(1, 1), (2, 1)}
+    assert got[1, 1].n_covered == got[1, 1].n_tokens and got[1, 1].verbatim and not got[2, 1].verbatim
