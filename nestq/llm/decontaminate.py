@@ -15,8 +15,9 @@ The documents' windows are exploded without a shuffle and meet the benchmark's b
 latter has at most ``BROADCAST_WINDOWS`` rows, else by a join on the hash.  A window that occurs twice
 in an item is looked for once and found at all its positions: each is a hit on a diagonal of its own.
 
-Windows with fewer than ``LEAST_WORDS`` plain words and items with fewer than ``WINDOW`` tokens are not
-specific enough and are not searched.  Null and empty texts match nothing.  Rows that repeat id and
+A template with fewer than ``LEAST_WORDS`` plain words says little, so such windows are hashed by their
+values instead.  Items with fewer than ``WINDOW`` tokens are searched whole and verbatim, in the lengths
+that the benchmark has: an item of one word is found in each document with that word.  Null and empty texts match nothing.  Rows that repeat id and
 text are one document; a null id is an id.  An empty table on either side gives an empty result.
 """
 
@@ -64,9 +65,38 @@ def template(column: str) -> Column:
     )
 
 
-def windows(column: str) -> Column:
-    """Hashes of all windows of an array of template tokens, by position."""
-    return F.expr(f"CASE WHEN size({column}) >= {WINDOW} THEN transform(sequence(1, size({column}) - {WINDOW - 1}), i -> xxhash64(slice({column}, i, {WINDOW}))) ELSE cast(array() AS array<bigint>) END")
+def windows(template: str, values: str) -> Column:
+    """Hashes of all windows of an array of template tokens, by position; a window with fewer than
+    ``LEAST_WORDS`` plain words is hashed by its values."""
+    count = f"size({template}) - {WINDOW - 1}"
+    whole = f"xxhash64(slice({template}, i, {WINDOW}))"
+    plain = f"size(filter(slice({template}, i, {WINDOW}), x -> x NOT IN ('#', '@', '%')))"
+    either = f"CASE WHEN {plain} >= {LEAST_WORDS} THEN {whole} ELSE xxhash64(translate(array_join(slice({values}, i, {WINDOW}), ' '), '{_NAME}', '')) END"
+    return F.expr(
+        f"""CASE WHEN size({template}) < {WINDOW} THEN cast(array() AS array<bigint>)
+            WHEN size(filter({template}, x -> x IN ('#', '@', '%'))) > {WINDOW - LEAST_WORDS} THEN transform(sequence(1, {count}), i -> {either})
+            ELSE transform(sequence(1, {count}), i -> {whole}) END"""
+    )
+
+
+def parts(column: str) -> Column:
+    """The tokens of an array with names and numbers taken apart and no marks."""
+    return F.expr(f"filter(split(translate(array_join({column}, ' '), '{_JOIN}{_NAME}', ' '), ' '), x -> x <> '')")
+
+
+def brief_found(source: DataFrame, benchmark: DataFrame, text: str, item: str) -> DataFrame | None:
+    """Documents that hold an item of fewer than ``WINDOW`` tokens whole and verbatim; None without such items."""
+    items = benchmark.select(F.col(f"`{item}`").alias("item"), tokens(F.col(f"`{text}`")).alias("iv")).withColumn("it", template("iv"))
+    items = items.where(F.size("it").between(1, WINDOW - 1)).withColumn("u", parts("iv"))
+    brief = items.select("item", F.xxhash64("u").alias("w"), F.size("u").alias("n"), F.size("it").cast("bigint").alias("n_tokens"), F.size(F.filter("it", lambda t: t.isin("#", "@", "%"))).cast("bigint").alias("n_slots"))
+    brief = cut(brief.groupBy("item", "w", "n").agg(F.max("n_tokens").alias("n_tokens"), F.max("n_slots").alias("n_slots")), "benchmark-brief")
+    sizes = sorted(r.n for r in brief.select("n").distinct().collect())
+    if not sizes:
+        return None
+    brief = F.broadcast(brief) if small_enough(brief, BROADCAST_WINDOWS) else brief
+    runs = F.expr("array_distinct(flatten(array(" + ", ".join(f"CASE WHEN size(u) >= {n} THEN transform(sequence(1, size(u) - {n - 1}), i -> xxhash64(slice(u, i, {n}))) ELSE cast(array() AS array<bigint>) END" for n in sizes) + ")))")
+    placed = source.withColumn("u", parts("v")).select("id", "text_hash", F.explode(runs).alias("w"))
+    return placed.join(brief, "w").select("id", "text_hash", "item", F.lit(1).cast("bigint").alias("n_windows"), F.col("n_tokens").alias("n_covered"), "n_tokens", "n_slots", F.lit(True).alias("verbatim"))
 
 
 def covered_tokens(column: str) -> Column:
@@ -76,11 +106,10 @@ def covered_tokens(column: str) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, text: str, item: str) -> DataFrame:
-    """(w, item, ats): each specific window of an item and all its positions."""
+    """(w, item, ats): each window of an item and all its positions."""
     items = benchmark.select(F.col(f"`{item}`").alias("item"), tokens(F.col(f"`{text}`")).alias("v")).withColumn("t", template("v"))
-    exploded = items.select("item", "t", F.posexplode(windows("t")).alias("at", "w"))
-    words = F.size(F.filter(F.slice("t", F.col("at") + 1, WINDOW), lambda t: ~t.isin("#", "@", "%")))
-    return exploded.where(words >= LEAST_WORDS).groupBy("item", "w").agg(F.collect_set("at").alias("ats")).select("w", "item", "ats")
+    exploded = items.select("item", F.posexplode(windows("t", "v")).alias("at", "w"))
+    return exploded.groupBy("item", "w").agg(F.collect_set("at").alias("ats")).select("w", "item", "ats")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
@@ -89,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     wanted = F.broadcast(wanted) if small_enough(wanted, BROADCAST_WINDOWS) else wanted
     whole = F.col(f"`{text}`").cast("string")
     source = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(whole).alias("text_hash"), tokens(whole).alias("v"))
-    placed = source.withColumn("t", template("v")).select("id", "text_hash", F.posexplode(windows("t")).alias("place", "w"))
+    placed = source.withColumn("t", template("v")).select("id", "text_hash", F.posexplode(windows("t", "v")).alias("place", "w"))
     hits = placed.join(wanted, "w").select("id", "text_hash", "item", "place", F.explode("ats").alias("at")).withColumn("diagonal", F.col("place") - F.col("at"))
     sets = hits.groupBy("id", "text_hash", "item", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("p"))
     pair = Window.partitionBy("id", "text_hash", "item")
@@ -121,6 +150,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
         "id", "text_hash", "item", F.size("p").cast("bigint").alias("n_windows"), F.col("n_covered").cast("bigint").alias("n_covered"), F.size("it").cast("bigint").alias("n_tokens"),
         F.size("slots").cast("bigint").alias("n_slots"), F.forall("slots", lambda s: s["item_value"] == s["value"]).alias("verbatim"),
     )
+    brief = brief_found(source, benchmark, item_text, item)
+    judged = judged if brief is None else judged.unionByName(brief)
     best = judged.groupBy("id", "text_hash", "item").agg(F.max(F.struct("n_covered", "verbatim", "n_windows", "n_slots", "n_tokens")).alias("b"))
     return best.select("id", "text_hash", "item", *(F.col(f"b.{c}").alias(c) for c in ("n_windows", "n_covered", "n_tokens", "n_slots", "verbatim")))
 

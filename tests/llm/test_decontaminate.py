@@ -65,3 +65,11 @@ def test_item_whose_template_repeats(spark):
     got = found(spark, [(1, item), (2, other), (3, one)], ((1, item),))
     assert set(got) == {(1, 1), (2, 1)}
     assert got[1, 1].n_covered == got[1, 1].n_tokens and got[1, 1].verbatim and not got[2, 1].verbatim
+
+
+def test_short_items_and_items_of_values(spark, prose):
+    short, numbers = "What is the capital of France today?", "Sum of 12 45 7 31 9 66 88 5 62."
+    items = ((1, short), (2, numbers), (3, "3.5 kg"))
+    texts = [(1, prose(5, 30) + " asked What is the capital of France today? " + prose(6, 20)), (2, prose(7, 20) + ". " + numbers), (3, short.replace("France", "Spain"))]
+    texts += [(4, numbers.translate(str.maketrans("123456789", "234567891"))), (5, "it weighs 3.5 kg now"), (6, "it weighs 4.5 kg now")]
+    assert set(found(spark, texts, items)) == {(1, 1), (2, 2), (5, 3)}
