@@ -33,7 +33,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: Where base64 of a DER sequence (0x30 is ``M``) or of an OpenSSH key can begin.
+START = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=-----))(?:M[A-Za-z0-9+/_-]|b3Bl)")
+#: The rest of a line in either alphabet; dashes of a PEM boundary belong to none.
+ALPHABETS = (re.compile("[A-Za-z0-9+/]+"), re.compile("(?:[A-Za-z0-9_]|-(?!----))+"))
+BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+PADDING = re.compile("={0,2}")
+LEAST_BASE64 = 40
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}(?![0-9A-Fa-f])")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 #: DER tags whose content is a sequence of DER values.
@@ -104,6 +110,47 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+def der_length(data: bytes) -> int:
+    """The length that a DER header states, with the header; 0 if there is none."""
+    if len(data) < 2 or data[0] != 0x30:
+        return 0
+    if data[1] < 0x80:
+        return 2 + data[1]
+    n = data[1] & 0x7F
+    return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 and len(data) >= 2 + n else 0
+
+
+def base64_key(text: str, start: int) -> tuple[str, int] | None:
+    """(kind, end) of the key whose base64 begins at ``start``; lines are added until its length is reached."""
+    for alphabet in ALPHABETS:
+        pieces, count, at, size, ends = [], 0, start, 0, []
+        while m := alphabet.match(text, at):
+            pieces.append(m[0])
+            count, at = count + len(m[0]), m.end()
+            ends.append((count, at))
+            if not size and count >= 8 and text[start] == "M":
+                head = unbase64("".join(pieces)[:8])
+                size = der_length(head) if head else 0
+                if not size:
+                    break
+            if size and count >= -(-size * 4 // 3):
+                break
+            if not (more := BREAK.match(text, at)):
+                break
+            at = more.end()
+        whole = "".join(pieces)
+        if text[start] == "M":
+            if size and count == -(-size * 4 // 3) and count >= LEAST_BASE64 and (data := unbase64(whole)) is not None and is_der_key(data):
+                return "der", PADDING.match(text, ends[-1][1]).end()
+            continue
+        if not (unbase64(whole[:20]) or b"").startswith(OPENSSH):
+            continue
+        for n, end in reversed(ends):
+            if n >= LEAST_BASE64 and (data := unbase64(whole[:n])) is not None and is_openssh_key(data):
+                return "openssh", PADDING.match(text, end).end()
+    return None
+
+
 def is_token_header(part: str) -> bool:
     data = unbase64(part)
     try:
@@ -118,12 +165,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    for m in BASE64.finditer(text):
-        if (data := unbase64(m[0])) is not None:
-            if is_der_key(data):
-                found.append(("der", m.start(), m.end()))
-            elif is_openssh_key(data):
-                found.append(("openssh", m.start(), m.end()))
+    at = 0
+    while m := START.search(text, at):
+        at = m.end()
+        if key := base64_key(text, m.start()):
+            found.append((key[0], m.start(), key[1]))
+            at = key[1]
     for m in ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             found.append(("der", m.start(), m.end()))

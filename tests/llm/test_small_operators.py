@@ -85,6 +85,18 @@ def test_structure_confirms_secrets():
     assert not [s for s in secret_scan.spans(f"{wrong} eyJub3QiOiJoZWFkZXIifQ.eyJzdWIi.x {'QUJD' * 20}") if s[0] in ("der", "jwt", "openssh")]
 
 
+@pytest.mark.parametrize("extra", [0, 1, 2])
+@pytest.mark.parametrize("width", [32, 64, 10_000])
+def test_wrapped_keys(extra, width):
+    key = der(0x30, der(2, b"\0"), *(der(2, bytes(range(1, 60))) for _ in range(8)), der(4, b"\1" * (10 + extra)))
+    for coded in (base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode()):
+        for body in (coded, coded.rstrip("=")):
+            body = "\n".join(body[i : i + width] for i in range(0, len(body), width))
+            for before, after in (("-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----\n"), ("key: ", "\nNext line"), ("", "\nNext\n"), ("'", "' more")):
+                text = before + body + after
+                assert [text[a:b] for k, a, b in secret_scan.spans(text) if k == "der"] == [body]
+
+
 def test_base_spans_equal_brute_force():
     rnd = random.Random(8)
     parts = ["password", "PASSWD", "ſecret", "secret", "toKen", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "zz", "\n", "é", "deadbeef", "K"]
