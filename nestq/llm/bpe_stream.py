@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestq.llm.common import arrow_map, table
+from nestq.llm.common import arrow_map, as_texts, sliced, table
 
 #: Fixed value: the pattern that splits text before byte-level merges, with the white space of Unicode spelled out.
 _S = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -218,22 +218,19 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = transducer(content.value)
-        for b in batches:
-            texts = b.column(b.num_columns - 1)
-            for start in range(0, max(b.num_rows, 1), 256):
-                rows = b.slice(start, 256)
-                out: list[list] = [[] for _ in made]
-                for s in texts.slice(start, 256).to_pylist():
-                    ids = coder.encode(s or "")
-                    back = coder.decode(ids)
-                    if digest:
-                        row = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
-                    else:
-                        row = (ids, back)
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-                arrays = [*rows.columns[:-1], *(pa.array(c, type=t) for c, (_, t) in zip(out, made, strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names[:-1], *(n for n, _ in made)])
+        for b in sliced(batches, rows=256):
+            out: list[list] = [[] for _ in made]
+            for s in as_texts(b.column(b.num_columns - 1)):
+                ids = coder.encode(s or "")
+                back = coder.decode(ids)
+                if digest:
+                    row = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+                else:
+                    row = (ids, back)
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+            arrays = [*b.columns[:-1], *(pa.array(c, type=t) for c, (_, t) in zip(out, made, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names[:-1], *(n for n, _ in made)])
 
     schema = kept.drop("_bpe_text").schema
     for name, kind in made:

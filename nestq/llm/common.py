@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a folder of our own."""
+    """The folder in ``spark.checkpoint.dir``.  Where that is unset a local session, as in tests, gets a
+    folder of its own; on a cluster, whose machines share no such folder, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="nestq-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,20 +47,39 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Makes Spark remove the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, files survive executors."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, files survive executors.
+
+    The files go with ``discard``, or else when Python ends, since any later plan may read them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nestq-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._nestq_written = (path, atexit.register(_remove, spark, path))
+    return made
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove the files of results of ``cut`` that nothing will read again."""
+    for df in written:
+        _remove(df.sparkSession, df._nestq_written[0])
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -68,8 +92,12 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def as_list(column: pa.Array) -> list:
-    return column.to_pylist()
+def as_texts(column: pa.Array) -> list[str | None]:
+    """A string column as Python strings; ill-formed UTF-8 becomes U+FFFD, as everywhere in this package."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode(errors="replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
 def as_bytes(column: pa.Array, null: bytes = b"") -> list[bytes]:
@@ -89,6 +117,22 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterable[tuple[int,
         yield start, len(texts)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: int = -1, rows: int = 1024, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``limit`` bytes in one column, one row at
+    least, so that what a worker makes of a slice (lists, strings, results) stays small whatever Spark sends."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+        start, held = 0, 0
+        for i, size in enumerate(sizes):
+            if i > start and (held + size > limit or i - start >= rows):
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        yield b.slice(start)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema

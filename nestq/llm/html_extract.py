@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestq.llm.common import arrow_map, restored, table
+from nestq.llm.common import arrow_map, as_texts, restored, sliced, table
 
 #: What HTML says about its elements.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul button select option label iframe".split())
@@ -390,17 +390,15 @@ def extract(pages: DataFrame, trees: Trees, column: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = restored(Trees, sent.value)
-        for b in batches:
+        for b in sliced(batches, rows=64):
             texts: list[str] = []
-            sources = b.column(b.num_columns - 1).to_pylist()
-            for start in range(0, len(sources), 64):
-                read = [Page(s or "") for s in sources[start : start + 64]]
-                features = [p.features() for p in read]
-                keep = model.predict(np.concatenate(features))
-                at = 0
-                for page, f in zip(read, features, strict=True):
-                    texts.append(page.decode(keep[at : at + len(f)]))
-                    at += len(f)
+            read = [Page(s or "") for s in as_texts(b.column(b.num_columns - 1))]
+            features = [p.features() for p in read]
+            keep = model.predict(np.concatenate(features))
+            at = 0
+            for page, f in zip(read, features, strict=True):
+                texts.append(page.decode(keep[at : at + len(f)]))
+                at += len(f)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "main_text"])
 
     return arrow_map(kept, run, kept.drop("_html").schema.add("main_text", T.StringType()))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestq.llm.common import arrow_map, fold, table
+from nestq.llm.common import arrow_map, as_texts, fold, sliced, table
 
 LETTER = re.compile(r"[^\W\d_]")
 #: What is not a letter becomes one space before compression, so that marks and digits don't break matches.
@@ -94,8 +94,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(sent.value)
-        for b in batches:
-            found = [judge.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
+        for b in sliced(batches):
+            found = [judge.predict(t) for t in as_texts(b.column(b.num_columns - 1))]
             arrays = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] == UNKNOWN or f[1] < least_margin for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*b.schema.names[:-1], *mine])
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestq.llm.common import WHITE, arrow_map, as_bytes, batch, cut, null_safe, table
+from nestq.llm.common import WHITE, arrow_map, as_bytes, batch, cut, null_safe, sliced, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -59,7 +59,7 @@ def line_keys(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in sliced(batches):
             ids, hashes, texts = b.column(0), b.column(1), as_bytes(b.column(2))
             found, row, position = [], [], []
             for i, data in enumerate(texts):
@@ -209,7 +209,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", digest
     name = "kept_sha256" if digest else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, -2):
             done = [apply_bitmap(t, k) for t, k in zip(as_bytes(b.column(b.num_columns - 2)), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             texts = [hashlib.sha256(d[0]).hexdigest() if digest else d[0].decode(errors="replace") for d in done]
             arrays = [pa.array(texts, type=pa.string()), pa.array([d[1] for d in done], type=pa.int64()), pa.array([d[2] for d in done], type=pa.int64())]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestq.llm.common import arrow_map, as_bytes, batch, cut, table
+from nestq.llm.common import arrow_map, as_bytes, batch, cut, discard, sliced, table
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
@@ -135,7 +135,7 @@ def sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, (factors, offsets) = Shingler(shingle), hash_functions(SIGNATURE)
-        for b in batches:
+        for b in sliced(batches):
             sizes, digests, made, last = [], [], [], {}
             for t in as_bytes(b.column(b.num_columns - 1)):
                 s = maker.hashes(t)
@@ -188,7 +188,7 @@ def full_sets(needed: DataFrame, docs: DataFrame, members: DataFrame, text: str,
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Shingler(shingle)
-        for b in batches:
+        for b in sliced(batches):
             # a row's place is a hash of id and text: the digest says whether it is the text meant
             keys, found, stay = b.column(0), [], []
             for i, (c, t) in enumerate(zip(keys.to_pylist(), as_bytes(b.column(1)), strict=True)):

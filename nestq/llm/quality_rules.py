@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestq.llm.common import arrow_map, cut, small_enough, table
+from nestq.llm.common import arrow_map, as_texts, cut, sliced, small_enough, table
 
 SYMBOLS = "#*$%&|<>"
 #: Rules by name: the documents' condition (over the statistics), and the shrunk rate at which a host fails.
@@ -72,8 +72,8 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = docs.withColumn("_quality_text", F.col(f"`{text}`").cast("string")).drop(*(mine - {text}), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [statistics(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
+        for b in sliced(batches):
+            found = [statistics(t or "") for t in as_texts(b.column(b.num_columns - 1))]
             columns = list(zip(*found, strict=True)) if found else [[] for _ in STATS]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, type=pa.int64()) for c in columns)], names=[*b.schema.names[:-1], *STATS])
 

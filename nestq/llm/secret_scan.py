@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestq.llm.common import arrow_map, table
+from nestq.llm.common import arrow_map, as_texts, sliced, table
 
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -185,8 +185,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [[{"kind": k, "start": s, "end": e} for k, s, e in spans(t)] if t else [] for t in b.column(b.num_columns - 1).to_pylist()]
+        for b in sliced(batches):
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in spans(t)] if t else [] for t in as_texts(b.column(b.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, type=kind)], names=[*b.schema.names[:-1], "secret_spans"])
 
     return arrow_map(kept, run, kept.drop("_secret_text").schema.add("secret_spans", SPANS))

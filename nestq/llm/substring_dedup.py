@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestq.llm.common import arrow_map, as_bytes, batch, chunks, cut, small_enough, table
+from nestq.llm.common import arrow_map, as_bytes, batch, chunks, cut, sliced, small_enough, table
 
 MIN_BYTES = 100
 KGRAM = 32
@@ -138,7 +138,7 @@ def _identified(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def anchor_rows(docs: DataFrame, min_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = as_bytes(b.column(2))
             ids, crcs = b.column(0).to_numpy(), b.column(1).to_numpy()
             for start, end in chunks(texts):
@@ -416,7 +416,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("_sd_h", pa.int64()), ("_sd_id", pa.int64()), ("_sd_crc", pa.int64()), ("_sd_from", pa.int64()), ("_sd_place", pa.int32()), ("_sd_bytes", pa.binary()), ("_sd_large", pa.bool_())])
-        for b in batches:
+        for b in sliced(batches, 2):
             rows = []
             for id_, crc, data, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for p in wanted:
@@ -469,7 +469,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", m
     rows = _identified(docs, text, key).join(lists, ["_sd_id", "_sd_crc"], "left").select(*(F.col(f"`{c}`") for c in others), "_sd_text", "_sd_ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, -2):
             texts = as_bytes(b.column(b.num_columns - 2))
             done = [cut_out(t, r) for t, r in zip(texts, b.column(b.num_columns - 1).to_pylist(), strict=True)]
             stay = pa.array([hashlib.sha256(d[0]).hexdigest() for d in done], pa.string()) if digest else pa.array([d[0] for d in done], pa.binary())
