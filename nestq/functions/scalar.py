@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 from nestq.ast import QueryError
+from nestq.plans import dynamic
 from nestq.plans.values import FRACTIONAL, INTEGRAL, MISSING, NULL, Val, common, family, numeric, quote, text
 
 LONG, STRING, DOUBLE, BOOLEAN = T.LongType(), T.StringType(), T.DoubleType(), T.BooleanType()
@@ -29,8 +30,7 @@ def typed(c, v: Val, kind: str) -> Val | None:
     if v.type is None:
         return v
     if v.variant:
-        to = {"string": STRING, "number": DOUBLE, "boolean": BOOLEAN}[kind]
-        return Val(f"try_variant_get({v.sql}, '$', '{to.simpleString()}')", to)
+        return dynamic.typed(v.sql, kind, {"string": STRING, "number": DOUBLE, "boolean": BOOLEAN}[kind])
     return v if family(v.type) == kind else None
 
 
@@ -186,12 +186,18 @@ def collection(c, name: str, array: Val, distinct: bool) -> Val:
     if array.type is None:
         return NULL
     if array.variant:
-        array = Val(f"try_variant_get({array.sql}, '$', 'array<double>')", T.ArrayType(DOUBLE))
+        array = Val(f"(case when {dynamic.is_a(array.sql, 'list')} then {dynamic.get(array.sql, 'array<variant>')} end)", T.ArrayType(dynamic.VARIANT))
     if not array.array:
         return c.mismatch(f"COLL_{name} expects a collection")
     element = array.element
     items = f"filter({array.sql}, x -> x is not null)"
-    if distinct:
+    if isinstance(element, T.VariantType):
+        items = f"filter({array.sql}, x -> x is not null and not is_variant_null(x))"
+        if distinct:
+            items = f"transform(array_distinct(transform({items}, x -> to_json(x))), x -> parse_json(x))"
+        if name != "COUNT":
+            return Val(*dynamic.collection(name, items))
+    elif distinct:
         items = f"array_distinct({items})"
     if name == "COUNT":
         return Val(f"(case when {array.sql} is not null then cast(size({items}) as bigint) end)", LONG)

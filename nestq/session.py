@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable
 from typing import Any
 
@@ -18,6 +19,16 @@ from nestq.sources.delimited import scan_csv
 from nestq.sources.ion import read_ion, scan_ion
 
 
+def _drop_views(spark: SparkSession, names: list[str]) -> None:
+    """A query that was analysed no longer needs the views that it reads."""
+    while names:
+        name = names.pop()
+        try:
+            spark.catalog.dropTempView(name)
+        except Exception:  # the Spark session has ended, and its views with it
+            return
+
+
 class Session:
     """Runs queries over registered tables.
 
@@ -36,6 +47,9 @@ class Session:
         self._scalars: dict[str, Callable] = {}
         self._table_functions: dict[str, Callable] = {"SCAN_CSV": scan_csv, "READ_ION": read_ion, "SCAN_ION": scan_ion}
         self._types: dict[str, T.DataType] = {}
+        self._views: list[str] = []  # of tables and graphs, until the session ends
+        self._passing: list[str] = []  # of table functions, until their query is analysed
+        self._finalizer = weakref.finalize(self, _drop_views, spark, self._views)
 
     # --- registration ------------------------------------------------------------------------------
     def register(self, name: str, source: DataFrame | Callable[[], DataFrame]) -> Session:
@@ -96,15 +110,24 @@ class Session:
         """The result as a DataFrame; a query of tuples has their attributes as columns, one of other
         values the column _1."""
         rel = self.compile(query)
-        df = self.spark.sql(rel.sql)
+        try:
+            df = self.spark.sql(rel.sql)
+        finally:
+            _drop_views(self.spark, self._passing)
         if rel.scalar and isinstance(df.schema[0].dataType, T.StructType) and len(df.columns) == 1 and df.schema[0].dataType.fields:
             df = df.select(f"{df.columns[0]}.*")
         return df
 
+    def close(self) -> None:
+        """Drop the views of the session's tables; results made so far stay usable."""
+        self._finalizer()
+        self._tables = {n: t for n, t in self._tables.items() if not isinstance(t, tuple)}
+
     # --- what the compiler asks --------------------------------------------------------------------
-    def _view(self, df: DataFrame) -> str:
+    def _view(self, df: DataFrame, passing: bool = False) -> str:
         name = f"nestq_{uuid.uuid4().hex}"
         df.createOrReplaceTempView(name)
+        (self._passing if passing else self._views).append(name)
         return name
 
     def _table(self, name: str, exact: bool):
@@ -143,7 +166,7 @@ class Session:
             self.errors.append(f"{name}: {error}")
             df = self.spark.createDataFrame([], "_1 string")
             columns = [("_1", Val("`_1`", T.StringType()))]
-        return self._view(df), columns
+        return self._view(df, passing=True), columns
 
 
 __all__ = ["Column", "Session"]

@@ -387,7 +387,21 @@ def _name(k: str) -> str:
     return k if re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$]*", k) and k not in ("null", "true", "false", "nan") else "'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _json_rows(session, path: str) -> DataFrame:
+def _json_rows(session, path: str, lines: bool = False) -> DataFrame:
+    """A JSON text for each top-level value.
+
+    A file is one row, so one task and at most 2 GB: a value may span lines, and only a parse from the
+    start tells where one ends.  With ``lines`` every value is on a line of its own, as ``write_ion``
+    writes them; Spark then splits files of any size, and unpacks them by their extension.
+    """
+    if lines:
+        texts = session.spark.read.text(path)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([to_json(v) for line in b.column(0).to_pylist() for v in loads(line)], pa.string())], names=["j"])
+
+        return texts.mapInArrow(each, "j string")
     files = session.spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,14 +414,18 @@ def _json_rows(session, path: str) -> DataFrame:
     return files.mapInArrow(run, "j string")
 
 
-def scan_ion(session, path: str) -> DataFrame:
+def scan_ion(session, path: str, lines: bool = False) -> DataFrame:
     """One VARIANT, ``v``, for each top-level value."""
-    return _json_rows(session, path).select(F.parse_json("j").alias("v"))
+    return _json_rows(session, path, lines).select(F.parse_json("j").alias("v"))
 
 
-def read_ion(session, path: str) -> DataFrame:
-    """Typed columns; the schema is that of all values together.  Values that aren't structs are in _1."""
-    rows = _json_rows(session, path)
+def read_ion(session, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Typed columns; the schema is that of all values together, which takes a pass of its own, or the one
+    given (as in ``'a bigint, b string'``).  Values that aren't structs are in _1."""
+    rows = _json_rows(session, path, lines)
+    if schema is not None:
+        typed = rows.select(F.expr(f"try_variant_get(parse_json(j), '$', 'struct<{schema}>')").alias("r"))
+        return typed.select("r.*")
     kind = rows.select(F.schema_of_variant_agg(F.parse_json("j")).alias("s")).first()["s"]
     if kind is None:
         return session.spark.createDataFrame([], "_1 string")

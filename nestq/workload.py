@@ -6,13 +6,16 @@ rounded on both sides, since the order of addition differs.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestq.session import Session
+from nestq.sources.ion import read_graph, write_ion
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _ENTRIES: dict[str, tuple[str, str, dict]] = {}
@@ -40,6 +43,13 @@ def session(spark: SparkSession, sf_dir: str, **options) -> Session:
     def mixed() -> DataFrame:
         return read("events").select("event_id", F.parse_json(F.expr("case event_id % 5 when 0 then '{\"a\": null}' when 1 then '{\"a\": 1}' when 2 then '{\"a\": \"x\"}' when 3 then '{\"b\": true}' else '{\"a\": [1, 2, {\"c\": 7}]}' end")).alias("doc"))
 
+    def varied() -> DataFrame:
+        """A value of another type for each remainder by 8: integer, decimal, string, boolean, null, list, digits in a string, absent."""
+        kinds = "cast(event_id as string)", "event_id || '.5'", "'\"s' || event_id || '\"'", "cast(event_id % 16 = 3 as string)", "'null'", "'[' || event_id || ']'", "'\"' || event_id || '\"'"
+        cases = " ".join(f"when {k} then {sql}" for k, sql in enumerate(kinds))
+        return read("events").select("event_id", F.parse_json(F.expr(f"case event_id % 8 {cases} end")).alias("v"))
+
+    s.register("varied_events", varied)
     s.register("nested_orders", nested).register("dynamic_events", dynamic).register("mixed_events", mixed).register("zoned_events", lambda: zoned(read("events")))
     return s
 
@@ -75,6 +85,27 @@ def with_graph(s: Session, sf_dir: str) -> Session:
     return s.register_graph("world", nodes, edges)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for files that a query reads back, where driver and executors see it."""
+    top = spark.conf.get("spark.checkpoint.dir", "")
+    if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="nestq-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/nestq-files-{uuid.uuid4().hex}"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """A sorted result with ``place``, its row numbers: rows before a partition, plus those before in it."""
+    mask = (1 << 33) - 1
+    rows = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mid", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_start")
+    placed = rows.join(F.broadcast(starts), "_part")
+    return placed.withColumn("place", F.col("_start") + F.col("_mid").bitwiseAND(F.lit(mask)) + 1).drop("_mid", "_part", "_start")
+
+
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     query, _, options = _ENTRIES[name]
 
@@ -84,7 +115,10 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
             with_graph(s, sf_dir)
         if prepare := options.get("prepare"):
             prepare(s, sf_dir)
-        df = s.sql(query.format(dir=sf_dir) if options.get("format") else query)
+        paths = options["files"](s, sf_dir) if "files" in options else {}
+        df = s.sql(query.format(dir=sf_dir, **paths) if options.get("format") or paths else query)
+        if options.get("numbered"):
+            df = numbered(df)
         digits = options.get("digits", 4)
         return df.select(*(F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields))
 
@@ -111,7 +145,7 @@ entry("unpivot_variant", "SELECT e.event_id, k FROM dynamic_events AS e, UNPIVOT
 entry("project", "SELECT n.n_name AS name, n.n_nationkey + 1 AS next FROM nation AS n", "SELECT n_name AS name, CAST(n_nationkey + 1 AS BIGINT) AS next FROM nation")
 entry("project_alias", "SELECT n.n_name, n.n_nationkey * 2, n_regionkey FROM nation AS n", "SELECT n_name, CAST(n_nationkey * 2 AS BIGINT) AS _2, n_regionkey FROM nation")
 entry("select_star", "SELECT * FROM nation AS n, region AS r WHERE n.n_regionkey = r.r_regionkey", "SELECT * FROM nation, region WHERE n_regionkey = r_regionkey")
-entry("select_star_unpivot", "SELECT * FROM UNPIVOT {'amzn': 840.05, 'tdc': 31.06} AS price AT sym", "SELECT CAST(840.05 AS DECIMAL(5,2)) AS price, 'amzn' AS sym UNION ALL SELECT 31.06, 'tdc'")
+entry("select_star_unpivot", "SELECT * FROM UNPIVOT {'width': 12.25, 'height': 80.5, 'depth': 7.75} AS size AT side", "SELECT CAST(12.25 AS DECIMAL(4,2)) AS size, 'width' AS side UNION ALL SELECT 80.5, 'height' UNION ALL SELECT 7.75, 'depth'")
 entry("select_value", "SELECT VALUE {'key': p.p_partkey, 'big': p.p_size > 25} FROM part AS p", "SELECT p_partkey AS key, p_size > 25 AS big FROM part")
 entry("select_value_scalar", "SELECT VALUE p.p_size + 1 FROM part AS p", "SELECT CAST(p_size + 1 AS BIGINT) AS _1 FROM part")
 entry("pivot", "SELECT t.NATION_1 AS one, t.NATION_2 AS two FROM (SELECT (PIVOT n.n_nationkey AT n.n_name FROM nation AS n) AS t FROM [1] AS x) AS q", "SELECT max(n_nationkey) FILTER (n_name = 'NATION_1') AS one, max(n_nationkey) FILTER (n_name = 'NATION_2') AS two FROM nation")
@@ -186,9 +220,9 @@ entry("coll_distinct", "SELECT o.o_orderkey, COLL_COUNT(DISTINCT (SELECT VALUE i
 entry("coll_subquery", "SELECT c.c_custkey, COLL_MAX(SELECT VALUE o.o_orderkey FROM orders AS o WHERE o.o_custkey = c.c_custkey) AS m FROM customer AS c", "SELECT c_custkey, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS m FROM customer")
 # --- sorting and limits -------------------------------------------------------------------------------
 entry("order_by", "SELECT o.o_orderkey, o.o_totalprice FROM orders AS o ORDER BY o.o_totalprice DESC, o.o_orderkey", "SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders")
-entry("order_by_nulls", "SELECT d.doc_id, l.quality FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id LIMIT 20", "SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY quality NULLS FIRST, d.doc_id LIMIT 20")
-entry("order_by_default_nulls", "SELECT d.doc_id, l.quality FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id ORDER BY l.quality DESC, d.doc_id LIMIT 20", "SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY quality DESC NULLS FIRST, d.doc_id LIMIT 20")
-entry("order_by_alias", "SELECT p.p_partkey, -p.p_size AS s FROM part AS p ORDER BY s, p.p_partkey LIMIT 10", "SELECT p_partkey, -p_size AS s FROM part ORDER BY s, p_partkey LIMIT 10")
+entry("order_by_nulls", "SELECT d.doc_id, l.quality FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id", "SELECT d.doc_id, quality, row_number() OVER (ORDER BY quality NULLS FIRST, d.doc_id) AS place FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id", numbered=True)
+entry("order_by_default_nulls", "SELECT d.doc_id, l.quality FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id ORDER BY l.quality DESC, d.doc_id", "SELECT d.doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS FIRST, d.doc_id) AS place FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id", numbered=True)
+entry("order_by_alias", "SELECT p.p_partkey, -p.p_size AS s FROM part AS p ORDER BY s, p.p_partkey", "SELECT p_partkey, -p_size AS s, row_number() OVER (ORDER BY -p_size, p_partkey) AS place FROM part", numbered=True)
 entry("limit", "SELECT o.o_orderkey FROM orders AS o ORDER BY o.o_orderkey LIMIT 7", "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 7")
 entry("offset", "SELECT o.o_orderkey FROM orders AS o ORDER BY o.o_orderkey LIMIT 7 OFFSET 5", "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 7 OFFSET 5")
 entry("top_k", "SELECT l.l_orderkey, l.l_linenumber, l.l_extendedprice AS p FROM lineitem AS l ORDER BY p DESC, l.l_orderkey, l.l_linenumber LIMIT 10", "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 4) AS p FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10")
@@ -260,6 +294,125 @@ entry("graph_modes", "SELECT m.a.k AS a, m.c.k AS c FROM (world MATCH TRAIL (a:N
 entry("graph_quant", "SELECT m.a.k AS a, m.b.k AS b FROM (world MATCH ACYCLIC (a:Nation)~[:peer]~{1,2}(b:Nation)) AS m", " UNION ALL ".join(f"SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey + {d} AS BIGINT) AS b FROM nation WHERE n_nationkey + {d} BETWEEN 0 AND 24" for d in (5, -5, 10, -10)))
 
 
+# --- dynamic values -------------------------------------------------------------------------------------
+_K = "event_id % 8"
+entry(
+    "variant_arith",
+    "SELECT e.event_id, CAST(e.v + 1 AS DOUBLE) AS plus, CAST(e.v * 2 AS DOUBLE) AS twice, CAST(-e.v AS DOUBLE) AS minus, CAST(e.v / 4 AS DOUBLE) AS quarter, CAST(7 % e.v AS DOUBLE) AS rest, (e.v + 1) IS MISSING AS gone, (e.v + 1) IS NULL AS nothing FROM varied_events AS e",
+    f"""SELECT event_id, CAST(n + 1 AS DOUBLE) AS plus, CAST(n * 2 AS DOUBLE) AS twice, CAST(-n AS DOUBLE) AS minus,
+               CAST(CASE WHEN {_K} = 0 THEN event_id // 4 ELSE n / 4 END AS DOUBLE) AS quarter, CASE WHEN n <> 0 THEN CAST(7 % n AS DOUBLE) END AS rest,
+               {_K} NOT IN (0, 1, 4) AS gone, {_K} NOT IN (0, 1) AS nothing
+        FROM (SELECT event_id, CASE {_K} WHEN 0 THEN event_id WHEN 1 THEN event_id + 0.5 END AS n FROM events)""",
+)
+entry(
+    "variant_integers_stay",
+    "SELECT e.event_id, (e.v + 9007199254740993) IS INTEGER AS whole, CAST(e.v + 9007199254740993 AS BIGINT) AS big FROM varied_events AS e WHERE e.event_id % 8 = 0",
+    "SELECT event_id, true AS whole, event_id + 9007199254740993 AS big FROM events WHERE event_id % 8 = 0",
+)
+entry(
+    "variant_agg",
+    "SELECT e.event_id % 4 AS k, COUNT(e.v) AS n, CAST(SUM(e.v) AS DOUBLE) AS s, AVG(e.v) AS a, CAST(MIN(e.v) AS STRING) AS low, MAX(e.v) IS LIST AS list_last FROM varied_events AS e GROUP BY e.event_id % 4",
+    f"""SELECT event_id % 4 AS k, count(CASE WHEN {_K} NOT IN (4, 7) THEN 1 END) AS n, CAST(sum(CASE WHEN {_K} = 0 THEN event_id END) AS DOUBLE) AS s, avg(CASE WHEN {_K} = 0 THEN event_id END) AS a,
+               CASE event_id % 4 WHEN 0 THEN CAST(min(CASE WHEN {_K} = 0 THEN event_id END) AS VARCHAR) WHEN 1 THEN CAST(min(CASE WHEN {_K} = 1 THEN event_id END) AS VARCHAR) || '.5'
+                    WHEN 2 THEN min(CASE WHEN {_K} = 6 THEN CAST(event_id AS VARCHAR) END) ELSE 'false' END AS low, event_id % 4 = 1 AS list_last
+        FROM events GROUP BY event_id % 4""",
+)
+entry(
+    "variant_order",
+    "SELECT e.event_id FROM varied_events AS e ORDER BY e.v NULLS LAST, e.event_id",
+    f"""SELECT event_id, row_number() OVER (ORDER BY CASE {_K} WHEN 3 THEN 1 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 6 THEN 4 WHEN 5 THEN 6 ELSE 9 END,
+               CASE {_K} WHEN 3 THEN CAST(event_id % 16 = 3 AS DOUBLE) WHEN 0 THEN event_id WHEN 1 THEN event_id + 0.5 WHEN 5 THEN event_id END,
+               CASE {_K} WHEN 2 THEN 's' || event_id WHEN 6 THEN CAST(event_id AS VARCHAR) END, event_id) AS place FROM events""",
+    numbered=True,
+)
+entry(
+    "variant_compare",
+    "SELECT a.event_id, a.v = b.v AS same, a.v < b.v AS less FROM varied_events AS a JOIN varied_events AS b ON b.event_id = a.event_id + 1 OR (b.event_id = a.event_id + 2 AND a.event_id % 8 = 7) OR (b.event_id = a.event_id AND a.event_id % 8 = 0)",
+    f"""SELECT a.event_id, CASE WHEN a.{_K} IN (4, 7) OR b.{_K} IN (4, 7) THEN NULL ELSE a.event_id = b.event_id END AS same,
+               CASE WHEN a.{_K} = 0 AND b.{_K} IN (0, 1) THEN a.event_id < b.event_id END AS less
+        FROM events a JOIN events b ON b.event_id = a.event_id + 1 OR (b.event_id = a.event_id + 2 AND a.event_id % 8 = 7) OR (b.event_id = a.event_id AND a.event_id % 8 = 0)""",
+)
+entry(
+    "variant_strings",
+    "SELECT e.event_id, UPPER(e.v) AS u, CHAR_LENGTH(e.v) AS n, e.v LIKE '1%' AS one FROM varied_events AS e",
+    f"""SELECT event_id, upper(t) AS u, length(t) AS n, t LIKE '1%' AS one FROM (SELECT event_id, CASE {_K} WHEN 2 THEN 's' || event_id WHEN 6 THEN CAST(event_id AS VARCHAR) END AS t FROM events)""",
+)
+entry("bag_equal", "SELECT n.n_nationkey AS k, <<n.n_nationkey, n.n_regionkey, 3>> = <<3, n.n_regionkey, n.n_nationkey>> AS same, <<n.n_nationkey, 1>> = <<1, n.n_regionkey>> AS some, [n.n_nationkey, 1] = [1, n.n_nationkey] AS listed, [1] = <<1>> AS kinds FROM nation AS n", "SELECT n_nationkey AS k, true AS same, n_nationkey = n_regionkey AS some, n_nationkey = 1 AS listed, false AS kinds FROM nation")
+entry("tuple_equal", "SELECT n.n_nationkey AS k, {'a': n.n_nationkey, 'b': n.n_name} = {'b': n.n_name, 'a': n.n_nationkey} AS same, {'a': n.n_nationkey, 'b': 1} = {'b': 1, 'a': n.n_regionkey} AS some, {'a': 1} = {'b': 1} AS other, {'a': n.n_nationkey} <> {'a': 2.0} AS two FROM nation AS n", "SELECT n_nationkey AS k, true AS same, n_nationkey = n_regionkey AS some, false AS other, n_nationkey <> 2 AS two FROM nation")
+entry("distinct_order_by", "SELECT DISTINCT c.c_nationkey AS k FROM customer AS c ORDER BY c.c_acctbal DESC, c.c_custkey", "SELECT k, row_number() OVER (ORDER BY b DESC, c) AS place FROM (SELECT c_nationkey AS k, max(c_acctbal) AS b, arg_min(c_custkey, (-c_acctbal, c_custkey)) AS c FROM customer GROUP BY 1)", numbered=True)
+entry("coll_mixed", "SELECT n.n_nationkey AS k, CAST(COLL_MAX([n.n_nationkey, n.n_name, true]) AS STRING) AS top, CAST(COLL_MIN([n.n_nationkey, n.n_name, 2.5]) AS DOUBLE) AS low, COLL_COUNT([n.n_name, 1, null]) AS n, CAST(COLL_SUM([n.n_nationkey, 'x']) AS DOUBLE) AS s FROM nation AS n", "SELECT n_nationkey AS k, n_name AS top, CAST(least(n_nationkey, 2.5) AS DOUBLE) AS low, 2 AS n, CAST(NULL AS DOUBLE) AS s FROM nation")
+entry("cast_collection", "SELECT n.n_nationkey AS k, CAST(<<n.n_nationkey, 2>> AS LIST) = [n.n_nationkey, 2] AS listed, CAST([2, n.n_nationkey] AS BAG) = <<n.n_nationkey, 2>> AS bagged FROM nation AS n", "SELECT n_nationkey AS k, true AS listed, true AS bagged FROM nation")
+# --- files, made of the tables and read back ------------------------------------------------------------
+def _csv(s: Session, sf_dir: str) -> dict[str, str]:
+    path = shared_folder(s.spark)
+    s.spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).csv(path)
+    return {"csv": path}
+
+
+def _ion(s: Session, sf_dir: str) -> dict[str, str]:
+    path = shared_folder(s.spark)
+    write_ion(s.spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", F.array("o_orderkey", "o_custkey").alias("keys")), path)
+    return {"ion": path}
+
+
+def _packed(codec: str) -> Callable[[Session, str], dict[str, str]]:
+    def made(s: Session, sf_dir: str) -> dict[str, str]:
+        plain, path = _ion(s, sf_dir)["ion"], shared_folder(s.spark)
+        s.spark.read.text(plain).write.option("compression", codec).text(path)
+        return {"ion": path}
+
+    return made
+
+
+def _graph_text(s: Session, sf_dir: str) -> None:
+    """The fixed tables region and nation (30 rows) as a graph's text."""
+    regions = s.spark.read.parquet(f"{sf_dir}/region.parquet").collect()
+    nations = s.spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
+    nodes = [f'{{id: r{r.r_regionkey}, labels: ["Region"], payload: {r.r_regionkey}}}' for r in regions] + [f'{{id: n{n.n_nationkey}, labels: ["Nation"], payload: {n.n_nationkey}}}' for n in nations]
+    edges = [f'{{id: e{n.n_nationkey}, labels: ["in"], ends: (n{n.n_nationkey} -> r{n.n_regionkey})}}' for n in nations]
+    read_graph(s, "atlas", f"$graph::{{nodes: [{', '.join(nodes)}], edges: [{', '.join(edges)}]}}")
+
+
+class _Extension:
+    """Two functions that come with load()."""
+
+    def load(self, s: Session) -> None:
+        s.register_function("BETWEEN_CAPS", "string", sql="concat('<', {0}, '>')")
+        s.register_table_function("SQUARES", lambda session, n: session.spark.range(1, n + 1).select("id", (F.col("id") * F.col("id")).alias("square")))
+
+
+def _failing(s: Session, sf_dir: str) -> None:
+    def broken(session: Session, n: int) -> DataFrame:
+        raise RuntimeError("no such source")
+
+    s.register_table_function("BROKEN", broken)
+
+
+entry("scan_csv", "SELECT c.c_custkey, c.c_name FROM scan_csv('{csv}') AS c WHERE c.c_mktsegment = 'BUILDING'", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'", files=_csv)
+entry("read_ion", "SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus FROM read_ion('{ion}/part*') AS o", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders", files=_ion)
+entry("read_ion_lines", "SELECT o.o_orderkey, o.o_orderstatus, o.keys[1] AS second FROM read_ion('{ion}', 'o_orderkey bigint, o_orderstatus string, keys array<bigint>', true) AS o", "SELECT o_orderkey, o_orderstatus, o_custkey AS second FROM orders", files=_ion)
+entry("scan_ion", "SELECT CAST(o.v.o_orderkey AS BIGINT) AS k, CAST(o.v.keys[1] AS BIGINT) AS c FROM scan_ion('{ion}/part*') AS o", "SELECT o_orderkey AS k, o_custkey AS c FROM orders", files=_ion)
+entry("ion_gzip", "SELECT o.o_orderstatus AS s, COUNT(*) AS n FROM read_ion('{ion}/part*') AS o GROUP BY o.o_orderstatus", "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1", files=_packed("gzip"))
+entry("graph_text", "SELECT CAST(m.n AS BIGINT) AS n, CAST(m.r AS BIGINT) AS r FROM (atlas MATCH (n:Nation)-[e:in]->(r:Region)) AS m", "SELECT CAST(n_nationkey AS BIGINT) AS n, CAST(n_regionkey AS BIGINT) AS r FROM nation", prepare=_graph_text)
+entry("graph_table", "SELECT t.c.k AS c, t.r.name AS r FROM GRAPH_TABLE(world MATCH (c:Customer)-[e:in]->(n:Nation)-[f:in]->(r:Region)) AS t", "SELECT c_custkey AS c, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+_PEERS = "SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey + 5 AS BIGINT) AS b, 'n' AS kind FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey + 5, n_nationkey, 'n' FROM nation WHERE n_nationkey < 20"
+_IN = "SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b, 'r' AS kind FROM nation"
+_OF = "SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(c_custkey AS BIGINT) AS b, 'c' AS kind FROM nation JOIN customer ON c_nationkey = n_nationkey"
+entry("graph_right_or_undirected", "SELECT m.a.k AS a, m.b.k AS b FROM (world MATCH (a:Nation)~[e]~>(b)) AS m", f"SELECT a, b FROM ({_PEERS} UNION ALL {_IN})")
+entry("graph_left_or_undirected", "SELECT m.a.k AS a, m.b.k AS b FROM (world MATCH (a:Nation)<~[e]~(b)) AS m", f"SELECT a, b FROM ({_PEERS} UNION ALL {_OF})")
+entry("graph_left_or_right", "SELECT m.a.k AS a, m.b.k AS b FROM (world MATCH (a:Nation)<-[e]->(b)) AS m", f"SELECT a, b FROM ({_IN} UNION ALL {_OF})")
+entry("graph_any_direction", "SELECT m.a.k AS a, m.b.k AS b FROM (world MATCH (a:Nation)-[e]-(b)) AS m", f"SELECT a, b FROM ({_PEERS} UNION ALL {_IN} UNION ALL {_OF})")
+# --- the rest of the surface ----------------------------------------------------------------------------
+entry("extension", "SELECT q.id, q.square, BETWEEN_CAPS(r.r_name) AS name FROM SQUARES(3) AS q, region AS r", "SELECT i AS id, i * i AS square, '<' || r_name || '>' AS name FROM range(1, 4) t(i), region", prepare=lambda s, d: s.load(_Extension()))
+entry("table_function_error", "SELECT r.r_name, b._1 FROM region AS r LEFT JOIN BROKEN(1) AS b ON true", "SELECT r_name, CAST(NULL AS VARCHAR) AS _1 FROM region", prepare=_failing)
+entry("lateral_keyword", "SELECT o.o_orderkey, i.l_partkey AS part FROM nested_orders AS o, LATERAL o.items AS i", "SELECT l_orderkey AS o_orderkey, l_partkey AS part FROM lineitem")
+entry("fn_substring_for", "SELECT p.p_partkey, SUBSTRING(p.p_name FROM 2 FOR 4) AS s FROM part AS p", "SELECT p_partkey, substring(p_name, 2, 4) AS s FROM part")
+entry("time_literal", "SELECT r.r_regionkey, EXTRACT(HOUR FROM TIME '10:21:30') AS h, EXTRACT(MINUTE FROM TIME '10:21:30') AS m, EXTRACT(YEAR FROM TIMESTAMP '2021-03-04 05:06:07') AS y FROM region AS r", "SELECT r_regionkey, 10 AS h, 21 AS m, 2021 AS y FROM region")
+entry("bit_hex_literal", "SELECT r.r_regionkey, X'4142' = X'4142' AS same, B'01000001' = X'41' AS bits FROM region AS r", "SELECT r_regionkey, true AS same, true AS bits FROM region")
+entry("compat_decimal", "SELECT l.l_orderkey, l.l_linenumber, CAST(l.l_quantity * 1.5 AS DOUBLE) AS q, (l.l_quantity * 1.5) IS DECIMAL AS exact FROM lineitem AS l", "SELECT l_orderkey, l_linenumber, round(l_quantity * 1.5, 4) AS q, true AS exact FROM lineitem", compat="reference")
+entry("row_constructor", "SELECT v._1 AS a, v._2 AS b FROM (VALUES (1, 'x'), (2, 'y')) AS v", "SELECT * FROM (VALUES (1, 'x'), (2, 'y')) t(a, b)")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _run(name) for name in _ENTRIES}
 
