@@ -4,16 +4,24 @@ Encoding.  A byte-level merge list has a *sufficient lookahead* L: how text is c
 depends on at most L bytes after it.  ``sufficient_lookahead`` derives L from the list.  A merge
 (u, v) of rank r can only be undone from the right by a merge of lower rank whose left operand lies
 on the right spine of v (v itself, its right part, that part's right part, ...).  Ranks fall along
-such a chain, so one pass over the merges in rank order gives the longest chain in bytes.  A piece
-longer than the window is encoded window by window: tokens that end L bytes or more before the end
-of the window are final and leave, and encoding resumes at the last final boundary.  Nothing merges
-across a final boundary, so both sides stand alone and the result is that of the whole piece.
+such a chain, so one pass over the merges in rank order gives the longest chain in bytes.
+
+``tokens`` is the transducer: it walks the text in stretches of ``STRETCH`` characters that end where
+no piece can go on (before a space between two other characters), cuts each into pieces, and runs
+each piece through a window of bytes.  Tokens that end L bytes or more before the end of the window
+are final and leave, and encoding resumes at the last final boundary.  Nothing merges across a final
+boundary, so both sides stand alone and the result is that of the whole piece.  A piece that fits the
+window is its own last window; what it becomes is remembered in a table of bounded size.  So a stretch
+and a window are all that is held, however long the text is; a text without spaces is one stretch.
+Where a vocabulary's tokens are so long that none ends before the stable point, the window doubles.
 
 Decoding.  Token bytes run through an incremental UTF-8 state machine which holds at most three
-pending bytes; ill-formed sequences become U+FFFD.
+pending bytes; ill-formed sequences become U+FFFD.  With ``digest`` ids and decoded text run on into
+their hashes and are never held either.
 
-Nulls and empty texts give no tokens and decode to the empty text.  Rows are independent, so
-repeated rows get equal results, and columns other than those named are passed through untouched.
+Nulls and empty texts give no tokens and decode to the empty text.  Ill-formed UTF-8 in a text is read
+as U+FFFD.  Rows are independent, so repeated rows get equal results, ids of any type and other columns
+pass through untouched; columns of the result's names are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ import json
 import re
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -41,10 +49,14 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}
 #: The same split for texts below U+0250, whose letters and numbers fit a short class that is faster to scan.
 _L, _N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Pieces up to this many bytes are merged at once; longer ones go through the window.
+#: Bytes of a piece that are merged at once, at least; twice the lookahead if that is more.
 WINDOW = 512
+#: Characters of a text that are cut into pieces at once.
+STRETCH = 1 << 16
 #: Pieces that a worker remembers with their tokens, in two generations of this size; the older one goes.
 REMEMBERED = 250_000
+#: Where a stretch may end: a space between two characters that are no white space starts a piece.
+SAFE = re.compile(rf"[^{_S}](?=\x20[^{_S}])")
 #: Stands for the rank of a pair that no merge joins.
 NONE = 1 << 30
 
@@ -141,9 +153,9 @@ class Transducer:
 
     def stream(self, data: bytes) -> Iterator[int]:
         """Tokens of a long piece, emitted as soon as no later byte can change them."""
-        start = 0
-        while len(data) - start > self.window:
-            part = data[start : start + self.window]
+        start, window = 0, self.window
+        while len(data) - start > window:
+            part = data[start : start + window]
             end, stable = 0, len(part) - self.lookahead
             for token in self.merge(part):
                 if end + len(self.token_bytes[token]) > stable:
@@ -151,38 +163,79 @@ class Transducer:
                 end += len(self.token_bytes[token])
                 yield token
             start += end
+            window = self.window if end else 2 * window
         yield from self.merge(data[start:])
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, get = self.known, self.known.get
+    def stretches(self, part: str) -> Iterator[str]:
+        """``part`` in stretches which are cut into pieces as the whole would be."""
+        start, size = 0, len(part)
+        while size - start > STRETCH:
+            found = None
+            for m in SAFE.finditer(part, start + STRETCH):
+                found = m.start() + 1
+                break
+            if found is None:
+                break
+            yield part[start:found]
+            start = found
+        yield part[start:] if start else part
+
+    def tokens(self, text: str) -> Iterator[list[int]]:
+        """The text's tokens, a list for each stretch."""
         for part in self.split_special.split(text) if self.split_special else [text]:
             if part in self.special:
-                ids.append(self.special[part])
+                yield [self.special[part]]
                 continue
-            for piece in (self.latin if self.is_latin(part) else self.pieces).findall(part):
-                found = get(piece)
-                if found is None:
-                    data = piece.encode()
-                    if len(data) > self.window:
-                        ids.extend(self.stream(data))
-                        continue
-                    found = self.older.get(piece) or tuple(self.merge(data))
-                    if len(known) >= REMEMBERED:
-                        self.older, known = known, {}
-                        self.known, get = known, known.get
-                    known[piece] = found
-                ids += found
+            for stretch in self.stretches(part):
+                yield self._pieces(stretch)
+
+    def _pieces(self, stretch: str) -> list[int]:
+        ids: list[int] = []
+        known, get = self.known, self.known.get
+        for piece in (self.latin if self.is_latin(stretch) else self.pieces).findall(stretch):
+            found = get(piece)
+            if found is None:
+                data = piece.encode()
+                if len(data) > self.window:
+                    ids.extend(self.stream(data))
+                    continue
+                found = self.older.get(piece) or tuple(self.stream(data))
+                if len(known) >= REMEMBERED:
+                    self.older, known = known, {}
+                    self.known, get = known, known.get
+                known[piece] = found
+            ids += found
         return ids
 
+    def encode(self, text: str) -> list[int]:
+        return [i for ids in self.tokens(text) for i in ids]
+
+    def texts(self, ids: Iterable[list[int]], at_once: int = 4096) -> Iterator[str]:
+        """Text of lists of tokens as it comes; special tokens are kept, ill-formed bytes become U+FFFD."""
+        machine, of = codecs.getincrementaldecoder("utf-8")(errors="replace"), self.token_bytes.__getitem__
+        for some in ids:
+            for start in range(0, len(some), at_once):
+                yield machine.decode(b"".join(map(of, some[start : start + at_once])))
+        yield machine.decode(b"", final=True)
+
     def decode(self, ids: list[int], at_once: int = 4096) -> str:
-        """Text of the tokens; special tokens are kept, ill-formed bytes become U+FFFD."""
-        machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
-        of, out = self.token_bytes.__getitem__, []
-        for start in range(0, len(ids), at_once):
-            out.append(machine.decode(b"".join(map(of, ids[start : start + at_once]))))
-        out.append(machine.decode(b"", final=True))
-        return "".join(out)
+        return "".join(self.texts([ids], at_once))
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of tokens, digest of the decimal ids with commas between, digest of the decoded text."""
+        n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+        def seen() -> Iterator[list[int]]:
+            nonlocal n
+            for ids in self.tokens(text):
+                if ids:
+                    of_ids.update(("," if n else "").encode() + ",".join(map(str, ids)).encode())
+                    n += len(ids)
+                yield ids
+
+        for part in self.texts(seen()):
+            of_text.update(part.encode())
+        return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
 def transducer(content: str) -> Transducer:
@@ -221,12 +274,11 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, text: str = "t
         for b in sliced(batches, rows=256):
             out: list[list] = [[] for _ in made]
             for s in as_texts(b.column(b.num_columns - 1)):
-                ids = coder.encode(s or "")
-                back = coder.decode(ids)
                 if digest:
-                    row = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+                    row = coder.digests(s or "")
                 else:
-                    row = (ids, back)
+                    ids = coder.encode(s or "")
+                    row = (ids, coder.decode(ids))
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             arrays = [*b.columns[:-1], *(pa.array(c, type=t) for c, (_, t) in zip(out, made, strict=True))]

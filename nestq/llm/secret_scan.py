@@ -4,12 +4,17 @@ Base spans are pattern matches (assignments, access keys, long hex runs) and alw
 method adds spans whose *structure* proves what they are:
 
 * ``der``: base64 or hex that decodes to one ASN.1 DER value whose nested lengths fill their parents
-  exactly and which has the shape of a private or public key or certificate;
-* ``openssh``: base64 of an OpenSSH private key, whose length-prefixed fields are in bounds;
+  exactly and which has the versions, algorithm identifiers and fields of a private or public key or of
+  a certificate;
+* ``openssh``: base64 of an OpenSSH private key, whose length-prefixed fields, those of its public
+  blocks included, are in bounds and name a key type;
 * ``jwt``: three base64url parts, of which the first decodes to a JSON object with an ``alg``.
 
 Positions are code points, ends exclusive.  Null and empty texts have no spans.  Texts are scanned
-whole, in one pass per pattern.  Rows are independent; columns other than those named pass through.
+whole, in one pass per pattern, whatever their length.  Rows are independent, so repeated rows get equal
+spans and ids of any type pass through like all other columns, but for ``secret_spans``, which is
+replaced.  Ill-formed UTF-8 is read as U+FFFD.  An empty table gives an empty result.  Where several kinds
+begin at one place, the kinds' order decides which is listed first.
 """
 
 from __future__ import annotations
@@ -72,8 +77,26 @@ def der_values(data: bytes, start: int, end: int, depth: int = 0) -> list[tuple[
     return found
 
 
+def _integer(data: bytes, value: tuple[int, int, int]) -> int | None:
+    """A small INTEGER's number; None for other tags and for long ones."""
+    tag, start, end = value
+    return int.from_bytes(data[start:end], "big") if tag == 0x02 and 0 < end - start <= 2 else None
+
+
+def _algorithm(data: bytes, value: tuple[int, int, int]) -> bool:
+    """A SEQUENCE that begins with an OBJECT IDENTIFIER."""
+    inner = der_values(data, value[1], value[2]) if value[0] == 0x30 else None
+    return bool(inner) and inner[0][0] == 0x06 and 1 <= len(inner) <= 2
+
+
 def is_der_key(data: bytes) -> bool:
-    """Whether ``data`` is one DER sequence that starts like a key (version or algorithm) or a certificate."""
+    """Whether ``data`` is one DER sequence with the fields of a known key encoding or of a certificate.
+
+    PKCS#1 private (version 0 or 1 and eight integers or more) and public (modulus and a smaller exponent), DSA
+    (version 0 and five integers), PKCS#8 (version, algorithm, octets), SEC1 (version 1, octets, curve or
+    point), encrypted PKCS#8 (algorithm, octets), SPKI (algorithm, bits), X.509 (body, algorithm, bits).
+    A signature, which is two integers of like size, is none of them.
+    """
     if len(data) < 24 or data[0] != 0x30:
         return False
     top = der_values(data, 0, len(data))
@@ -83,21 +106,63 @@ def is_der_key(data: bytes) -> bool:
     if not inner or len(inner) < 2:
         return False
     tags = [t for t, _, _ in inner]
-    if tags[0] == 0x02:  # version or modulus first: PKCS#1, PKCS#8, SEC1
-        return any(t in (0x02, 0x04, 0x30) for t in tags[1:])
-    return tags[0] == 0x30 and tags[1] in (0x03, 0x04, 0x30)  # algorithm first: public or encrypted keys, certificates
+    sizes = [end - start for _, start, end in inner]
+    if tags[0] == 0x02:
+        version = _integer(data, inner[0])
+        if all(t == 0x02 for t in tags) and len(tags) == 2:
+            return sizes[0] >= 64 and sizes[1] <= 8  # modulus and exponent
+        if set(tags[:9]) == {0x02} and len(tags) in (9, 10):
+            return version in (0, 1) and sizes[1] >= 32
+        if set(tags) == {0x02} and len(tags) == 6:
+            return version == 0 and sizes[1] >= 64
+        if len(tags) >= 3 and tags[1:3] == [0x30, 0x04]:
+            return version in (0, 1) and _algorithm(data, inner[1])
+        return version == 1 and tags[1] == 0x04 and sizes[1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    if tags == [0x30, 0x03] or tags == [0x30, 0x04]:
+        return _algorithm(data, inner[0]) and sizes[1] >= 16
+    if tags == [0x30, 0x30, 0x03]:
+        return _algorithm(data, inner[1]) and sizes[2] >= 16 and len(der_values(data, inner[0][1], inner[0][2]) or []) >= 6
+    return False
+
+
+def _fields(data: bytes, at: int, end: int, n: int) -> tuple[list[bytes], int] | None:
+    """``n`` length-prefixed fields from ``at`` on and where they end; None if they pass ``end``."""
+    found = []
+    for _ in range(n):
+        if at + 4 > end:
+            return None
+        size = int.from_bytes(data[at : at + 4], "big")
+        at += 4
+        if at + size > end:
+            return None
+        found.append(data[at : at + size])
+        at += size
+    return found, at
 
 
 def is_openssh_key(data: bytes) -> bool:
-    """Whether the length-prefixed fields of an OpenSSH private key are all in bounds."""
+    """Whether ``data`` is an OpenSSH private key: cipher names, public blocks whose first field names the
+    key's type, and a private block of whole cipher blocks that, unless encrypted, repeats its check number."""
     if not data.startswith(OPENSSH):
         return False
-    at = len(OPENSSH)
-    for _ in range(3):  # cipher, key derivation, its options
-        if at + 4 > len(data):
+    head = _fields(data, len(OPENSSH), len(data), 3)
+    if head is None:
+        return False
+    (cipher, derivation, _), at = head
+    n = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else 0
+    if not 1 <= n <= 64 or not cipher or not derivation or (cipher == b"none") != (derivation == b"none"):
+        return False
+    rest = _fields(data, at + 4, len(data), n + 1)
+    if rest is None:
+        return False
+    *public, private = rest[0]
+    for block in public:
+        name = _fields(block, 0, len(block), 1)
+        if name is None or not re.fullmatch(rb"[a-z0-9@.-]{5,64}", name[0][0]):
             return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 8 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
+    if len(private) < 8 or len(private) % 8:
+        return False
+    return cipher != b"none" or private[:4] == private[4:8]
 
 
 def unbase64(text: str) -> bytes | None:

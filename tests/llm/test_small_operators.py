@@ -45,6 +45,43 @@ def test_bpe_window_needs_no_more_than_the_lookahead(coders):
     assert small.encode(t) == theirs.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_stretches_change_nothing(coders, prose, monkeypatch):
+    mine, theirs = coders
+    monkeypatch.setattr(bpe_stream, "STRETCH", 40)
+    texts = [prose(90, 400), "a  b   c\n d\te 's 't x" * 30, "word" * 200, " " * 500 + "x y" * 100, "漢字 é 😀 " * 60 + "<|endoftext|> z" * 9, " x" * 300]
+    for t in texts:
+        want = theirs.encode(t, add_special_tokens=False).ids
+        assert mine.encode(t) == want
+        back = theirs.decode(want, skip_special_tokens=False)
+        assert mine.digests(t) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
+def test_bpe_of_a_long_text_holds_little(coders, prose):
+    import tracemalloc
+
+    mine, _ = coders
+    text = prose(91, 2000) * 400  # about 4 MB
+    mine.digests(text[:100_000])
+    tracemalloc.start()
+    mine.digests(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(text) * 1.5 + (6 << 20)  # the split by special tokens copies the text once
+
+
+def test_bpe_window_grows_while_no_token_is_final():
+    symbols = bpe_stream.byte_symbols()
+    vocab, merges = {c: i for i, c in enumerate(symbols)}, []
+    grown = "c"
+    for _ in range(700):
+        merges.append([grown, "b"])
+        grown += "b"
+        vocab[grown] = len(vocab)
+    mine = bpe_stream.Transducer(json.dumps({"model": {"vocab": vocab, "merges": merges}}), window=16)
+    text = "c" + "b" * 1300
+    assert mine.encode(text) == mine.merge(text.encode())
+
+
 def test_bpe_decode_of_any_ids(coders):
     mine, theirs = coders
     rnd = random.Random(6)
@@ -72,10 +109,56 @@ def der(tag, *parts):
 KEY = der(0x30, der(2, b"\0"), *(der(2, bytes(range(1, 60))) for _ in range(8)))
 
 
+def prefixed(*parts):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+
+
+def openssh_key(name=b"ssh-ed25519", check=b"abcd", again=b"abcd"):
+    private = check + again + prefixed(name, bytes(32), bytes(64), b"me")
+    private += bytes(range(1, 1 + -len(private) % 8))
+    return secret_scan.OPENSSH + prefixed(b"none", b"none", b"") + (1).to_bytes(4, "big") + prefixed(prefixed(name, bytes(32)), private)
+
+
+OID, BITS = der(6, b"\x2a\x86\x48\xce\x3d\x02\x01"), der(3, b"\0" + bytes(range(65)))
+PKCS8 = der(0x30, der(2, b"\0"), der(0x30, OID), der(4, bytes(range(60))))
+SEC1 = der(0x30, der(2, b"\1"), der(4, bytes(range(32))), der(0xA0, OID), der(0xA1, BITS))
+SPKI = der(0x30, der(0x30, OID), BITS)
+CERTIFICATE = der(0x30, der(0x30, *(der(2, bytes([i, 9])) for i in range(7))), der(0x30, OID), BITS)
+
+
+@pytest.mark.parametrize("key", [KEY, PKCS8, SEC1, SPKI, CERTIFICATE])
+def test_known_key_encodings_in_pem(key):
+    for pad in range(3):  # lengths that need 0, 1 and 2 padding signs
+        body = der(0x30, *([key[len(key) - len(secret_scan_body(key)) :]])) if pad == 0 else key
+        for width in (64, 20):
+            b64 = base64.b64encode(body).decode()
+            lines = "\n".join(b64[i : i + width] for i in range(0, len(b64), width))
+            text = f"x -----BEGIN KEY-----\n{lines}\n-----END KEY-----\nnext words"
+            found = [s for s in secret_scan.spans(text) if s[0] == "der"]
+            assert found == [("der", text.index(b64[:10]), text.index("\n-----END"))]
+
+
+def secret_scan_body(key):
+    """The content of an outer SEQUENCE."""
+    return key[2:] if key[1] < 128 else key[2 + (key[1] & 127) :]
+
+
+def test_signatures_and_other_structures_are_no_keys():
+    signature = der(0x30, der(2, bytes(range(1, 33))), der(2, bytes(range(1, 33))))
+    odd = [signature, der(0x30, der(0x30, OID), der(4, b"short")), der(0x30, der(2, b"\5"), der(0x30, OID), der(4, bytes(40))), der(0x30, der(2, b"\0"), der(0x30, der(4, b"x" * 30)), der(4, bytes(40)))]
+    for data in odd:
+        assert not secret_scan.is_der_key(data)
+        assert not [s for s in secret_scan.spans("v " + base64.b64encode(data).decode() + " w") if s[0] == "der"]
+    assert secret_scan.is_openssh_key(openssh_key())
+    assert not secret_scan.is_openssh_key(openssh_key(again=b"abce"))
+    assert not secret_scan.is_openssh_key(openssh_key(name=b"\0\0"))
+    assert not secret_scan.is_openssh_key(openssh_key()[:-9])
+
+
 def test_structure_confirms_secrets():
     b64 = base64.b64encode(KEY).decode()
     token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (json.dumps({"alg": "HS256", "typ": "JWT"}).encode(), b'{"sub":"1234567890"}', b"signature!"))
-    openssh = base64.b64encode(secret_scan.OPENSSH + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"\0" * 40).decode()
+    openssh = base64.b64encode(openssh_key()).decode()
     text = f"é key {b64} and {token} or {openssh} hex {KEY.hex().upper()} end"
     found = [s for s in secret_scan.spans(text) if s[0] in ("der", "openssh", "jwt")]
     assert [k for k, _, _ in found] == ["der", "jwt", "openssh", "der"]
