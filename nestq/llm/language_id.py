@@ -1,19 +1,22 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary made of text in that language.  A text is put
-in lower case, its letters are kept, and it is cut into blocks, every block is compressed with each dictionary, and the language with the smallest total
-wins; cutting keeps the dictionary's part in the result the same for long texts, whose own past would
-otherwise do its work.  The whole text counts.  The score is the margin: how much smaller the best
+in lower case, its letters are kept, and it is cut into blocks; every block is compressed with each
+dictionary, and the language with the smallest total wins, at equal totals the first by name (its margin
+is 0, so it is rejected).  Cutting keeps the dictionary's part in the result the same for long texts, whose
+own past would otherwise do its work.  The whole text counts, block by block, whatever its length.  The score is the margin: how much smaller the best
 total is than the second best, as a share of the latter.  Texts with a margin below ``least_margin``
 are marked as rejected.
 
 The dictionaries are fitted on a bounded sample of labelled rows (``docs_per_language`` documents,
 ``piece_bytes`` of each, ``dictionary_bytes`` per language), chosen by a hash of the id, so that what
-reaches the driver does not grow with the data.
+reaches the driver does not grow with the data.  A column with more than ``most_languages`` distinct labels
+is an error: it holds something else than languages.
 
 Null texts and texts without a letter are ``und`` with score 0 and are rejected, as is everything if
 no row is labelled.  With a single language the margin is 1.  Rows are independent; repeated rows get
-equal results and other columns pass through.
+equal results, ids of any type and other columns pass through, columns of the result's names are
+replaced.  Ill-formed UTF-8 is read as U+FFFD.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,19 +42,21 @@ BLOCK = 1024
 LEVEL = 9
 LEAST_MARGIN = 0.005
 UNKNOWN = "und"
+MOST_LANGUAGES = 1000
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, piece_bytes: int = PIECE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, piece_bytes: int = PIECE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, most_languages: int = MOST_LANGUAGES) -> dict[str, bytes]:
     """A dictionary for each language of ``labelled``, from its bounded sample."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("h"), F.col(text).alias("t"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}  # a row for each language
+    if len(counts) > most_languages:
+        raise ValueError(f"{lang} has more than {most_languages} distinct labels")
     if not counts:
         return {}
     # A share of each language's rows by hash, twice what is needed; of those the lowest hashes are used.
     span = 1 << 40
-    chosen = F.lit(False)
-    for name, n in counts.items():
-        chosen = chosen | ((F.col("lang") == name) & (F.pmod("h", F.lit(span)) < int(span * min(1.0, 2 * docs_per_language / n))))
+    share = F.create_map(*(F.lit(x) for name, n in sorted(counts.items()) for x in (name, int(span * min(1.0, 2 * docs_per_language / n)))))
+    chosen = F.pmod("h", F.lit(span)) < F.element_at(share, F.col("lang"))
     # a stretch from the middle of the text, where headers and notices are rare
     start = F.greatest(F.lit(1), (F.length("t") / 2).cast("int") - piece_bytes // 2)
     sample = rows.where(chosen).select("lang", "h", F.substring("t", start, F.lit(piece_bytes)).alias("piece")).collect()
@@ -104,8 +109,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: the predicted language and the margin, learnt from two of three folds."""
+    """Per document: the predicted language, the margin and whether it is too narrow, learnt from two of three folds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     made = fit(docs.where(fold(F.col("doc_id"), 3) != 1))
     found = identify(docs.select("doc_id", "text"), made)
-    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))

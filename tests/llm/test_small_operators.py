@@ -99,6 +99,40 @@ def test_bpe_table(spark, coders, prose):
     assert bpe_stream.encode_decode(df.limit(0)).count() == 0
 
 
+# --- languages ----------------------------------------------------------------------------------------
+def test_language_sizes_equal_brute_force(spark, prose):
+    import zstandard
+
+    labelled = [(i, prose(i, 60), "en") for i in range(12)] + [(50 + i, " ".join(w[::-1] for w in prose(i, 60).split()), "ne") for i in range(12)]
+    texts = [prose(300 + i, 1 + 40 * i) for i in range(12)] + [" ".join(w[::-1] for w in prose(400 + i, 90).split()) for i in range(6)] + ["x", "12 34", "é漢字 text", "The 1st, of 2 and!\n" * 200]
+    made = language_id.fit(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + EDGE, "doc_id long, text string")
+    got = [(r.text, r.lang_pred, r.lang_score, r.lang_rejected) for r in language_id.identify(df, made).collect()]
+    assert len(got) == len(texts) + len(EDGE)
+    for text, pred, score, rejected in got:
+        if not text or not any(c.isalpha() for c in text):
+            assert (pred, score, rejected) == ("und", 0.0, True)
+            continue
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        sizes = {}
+        for name, held in made.items():
+            sizes[name] = 0
+            for at in range(0, len(data), language_id.BLOCK):
+                fresh = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+                sizes[name] += len(fresh.compress(data[at : at + language_id.BLOCK]))
+        (low, best), (high, _) = sorted((n, name) for name, n in sizes.items())[:2]
+        # a dictionary prepared beforehand may compress a block by a few bytes more or less
+        assert abs(score - (high - low) / high) < 0.05 and (pred == best or high - low <= 6)
+        assert rejected == (score < language_id.LEAST_MARGIN)
+
+
+def test_too_many_labels_are_an_error(spark):
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(df)) == 5
+    with pytest.raises(ValueError, match="distinct labels"):
+        language_id.fit(df, most_languages=4)
+
+
 # --- secrets ------------------------------------------------------------------------------------------
 def der(tag, *parts):
     body = b"".join(parts)
