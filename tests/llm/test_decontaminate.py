@@ -73,3 +73,54 @@ def test_short_items_and_items_of_values(spark, prose):
     texts = [(1, prose(5, 30) + " asked What is the capital of France today? " + prose(6, 20)), (2, prose(7, 20) + ". " + numbers), (3, short.replace("France", "Spain"))]
     texts += [(4, numbers.translate(str.maketrans("123456789", "234567891"))), (5, "it weighs 3.5 kg now"), (6, "it weighs 4.5 kg now")]
     assert set(found(spark, texts, items)) == {(1, 1), (2, 2), (5, 3)}
+
+
+def test_values_in_words_and_names_that_open_sentences(spark):
+    item = "Carol has seven red apples in the old basket. She gives 3 of them to Bob before lunch, then buys twenty five more at the shop. How many apples does Carol have now in the basket?"
+    same = [
+        item.replace("Carol has", "Peter has").replace("does Carol", "does Peter").replace("Bob", "Ada"),
+        item.replace("seven", "9").replace("twenty five", "forty"),
+        item.replace("seven", "twelve").replace("3 of", "two hundred and six of").replace("twenty five", "25"),
+        item.replace("She", "He"),
+    ]
+    other = [item.replace("seven", "ripe"), "Peter sells seven green pears."]
+    got = found(spark, [*enumerate(same), *((50 + i, t) for i, t in enumerate(other))], ((1, item),))
+    assert {k for k, _ in got if k < 50} == set(range(len(same))) and (51, 1) not in got
+
+
+def test_recall_of_generated_variants(spark, prose):
+    """Items with names, numbers and units; each copy gets other values of another shape inside other text."""
+    import random
+
+    rnd = random.Random(17)
+    names = ["Ada", "Brook", "Carol", "Dmitri", "Elif", "New York City", "Lisbon", "Oslo"]
+
+    def number():
+        return rnd.choice([str(rnd.randrange(2, 99)), f"{rnd.randrange(1, 9)},{rnd.randrange(100, 999)}", f"{rnd.randrange(1, 50)}.{rnd.randrange(1, 99)}", rnd.choice(["seven", "twelve", "forty two", "three hundred"])])
+
+    def made(shape):
+        return " ".join(rnd.choice(names) if w == "N" else number() if w == "V" else w for w in shape)
+
+    shapes = []
+    for i in range(40):
+        words = prose(900 + i, 34).split()
+        for at, slot in zip(rnd.sample(range(1, 34), 5), "NVVNV", strict=True):
+            words[at] = slot
+        shapes.append(words)
+    items = [(i, made(s)) for i, s in enumerate(shapes)]
+    texts = [(i, f"{prose(2000 + i, 25)}. {made(s)} {prose(3000 + i, 25)}") for i, s in enumerate(shapes)]
+    got = set(found(spark, [*texts, *((500 + i, prose(5000 + i, 120)) for i in range(40))], items))
+    assert all(k == item for k, item in got)
+    assert len(got) >= 0.9 * len(shapes)
+
+
+@pytest.mark.parametrize("key", ["doc_id", "name"])
+def test_ids_of_any_type_and_clashing_columns(spark, key):
+    docs = spark.createDataFrame([(1, "a1", ITEM, "c", "c"), (2, "a2", "clean words only here", "c", "c"), (None, None, None, None, None)], "doc_id long, name string, text string, w string, item string")
+    kept = dc.decontaminate(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"), key=key)
+    assert kept.columns == docs.columns and {r.name for r in kept.collect()} == {"a2", None}
+
+
+def test_a_very_long_text(spark, prose):
+    long = prose(11, 60_000) + " " + ITEM + " " + prose(12, 60_000)
+    assert set(found(spark, [(1, long)])) == {(1, 1)}
