@@ -10,10 +10,19 @@ The trees are trained on generated pages of many layouts and on a bounded, hashe
 (``SAMPLE_PAGES``), weakly labelled where tags or attributes say what a node is.  Every labelled node is
 also shown without its tag and attribute evidence, so that layout alone can decide elsewhere.
 
+Attribute tokens (words of class, id, role and itemprop) count twice: against what HTML's own vocabulary
+says, and hashed, by what the labelled pages say of them.
+
+The sample takes pages up to ``longest`` characters, of the table's whole; all pages are extracted.  Elements
+nested deeper than ``MOST_DEPTH`` are read as neighbours at that depth.  A tag is read up to ``LONGEST_TAG``
+characters with quotes minded; where it has no end by then, as after a quote that is never closed, quotes
+mean nothing for as long and tags end at the next ``>``.  So reading takes time linear in the page.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one
 space in page order.  Null and empty pages, and pages without main text, give the empty string.  Broken
-markup is read as far as it goes.  Rows are independent; repeated rows get equal results, other columns
-pass through.
+markup is read as far as it goes.  At equal sums a node is kept.  Ill-formed UTF-8 is read as U+FFFD.  Rows are
+independent; repeated rows get equal results, keys of any type and other columns pass through, but for
+main_text, which is replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +31,7 @@ import html
 import random
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +53,21 @@ KEEP_TAGS, TEXT_TAGS, HEADINGS = {"article", "main"}, {"p", "blockquote", "pre",
 DROP_TAGS = {"nav", "footer", "aside", "form", "menu", "button", "select", "option", "label", "fieldset", "iframe", "dialog"}
 KEEP_TOKENS = set("article articlebody body content entry main post story text prose".split())
 DROP_TOKENS = set("ad ads advert advertisement adverts advertorial alert banner breadcrumb breadcrumbs byline comment comments commentlist complementary contentinfo cookie cookies consent copyright disqus dropdown footer form header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted recommended related reply replies rail respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar widget disclaimer gdpr".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: What may be a tag begins so; the rest of a tag is read without going back, up to LONGEST_TAG characters.
+OPENER = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
+LONGEST_TAG = 1 << 16
+MOST_DEPTH = 512
 NAMED = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SAMPLE_PAGES = 300
 TREES, DEPTH, BINS, SHRINK = 60, 3, 32, 0.2
-FEATURES = 30
-#: Features that hold tag and attribute evidence.
-SEMANTIC = slice(20, 30)
+FEATURES = 34
+#: Features that hold tag and attribute evidence; the last four are what training pages say of hashed tokens.
+SEMANTIC = slice(20, 34)
+LEARNT = 30
+#: Buckets of hashed attribute tokens.
+BUCKETS = 1 << 12
 
 
 class Page:
@@ -78,9 +95,13 @@ class Page:
             del open_[k:]
 
         at, end = 0, len(source)
+        last = source.rfind(">")  # no tag ends after it
+        broken = 0  # quotes mean nothing before this place: one was never closed
         while at < end:
-            m = TOKEN.search(source, at)
+            m = OPENER.search(source, at, last + 1) if at <= last else None
             upto = m.start() if m else end
+            if not m and (comment := source.find("<!--", at)) >= 0:
+                upto = comment  # one that is never closed
             if upto > at and not unseen:
                 piece = source[at:upto]
                 run.append(piece)
@@ -88,12 +109,20 @@ class Page:
                     linked += len(piece)
             if not m:
                 break
-            at = m.end()
             if not m[2]:
+                mark = "-->" if m[0] == "<!--" else ">"
+                stop = source.find(mark, m.end())
+                at = stop + len(mark) if stop >= 0 else end
                 continue
+            rest = REST.match(source, m.end(), min(end, m.end() + LONGEST_TAG)) if m.end() >= broken else None
+            if rest is None and m.end() >= broken:
+                broken = m.end() + LONGEST_TAG
+            stop = rest.end() if rest else source.find(">", m.end()) + 1
+            attributes = source[m.end() : stop - 1]
+            at = stop
             closing, name = bool(m[1]), m[2].lower()
             if name in UNSEEN or name in RAW:
-                if not closing and not m[3].endswith("/") and name != "head":
+                if not closing and not attributes.endswith("/") and name != "head":
                     stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
                     at = stop.end() if stop else end
                 elif name == "head":
@@ -132,9 +161,9 @@ class Page:
                 self.tag.append(name)
                 self.parent.append(parent)
                 self.depth.append(self.depth[parent] + 1)
-                self.tokens.append(self._tokens(m[3]))
+                self.tokens.append(self._tokens(attributes))
                 self.inline.append(0)
-                if len(open_) < 512:  # deeper ones stay flat
+                if len(open_) < MOST_DEPTH:  # deeper ones stay flat
                     open_.append((name, len(self.tag) - 1))
         flush()
 
@@ -155,8 +184,12 @@ class Page:
                 found.update(p.lower() for p in PART.findall(value))
         return frozenset(found)
 
-    def features(self) -> np.ndarray:
-        """(nodes, FEATURES); 20 on are tag and attribute evidence."""
+    def buckets(self, k: int) -> list[int]:
+        """Hashes of a node's attribute tokens, each together with its tag and alone."""
+        return [crc32(t.encode()) % BUCKETS for token in self.tokens[k] for t in (token, f"{self.tag[k]} {token}")]
+
+    def features(self, odds: list[float] | None = None) -> np.ndarray:
+        """(nodes, FEATURES); 20 on are tag and attribute evidence.  odds: by bucket, log odds to be kept."""
         n = len(self.tag)
         chars, links, words, marks, runs, tags = ([0.0] * n for _ in range(6))
         offset, total = [-1.0] * n, 0.0
@@ -193,6 +226,11 @@ class Page:
                 keep_above[k], drop_above[k] = keep_above[p], drop_above[p]
             row = out[k]
             row[20:30] = (good, bad, keep_above[k], drop_above[k], tag in KEEP_TAGS, tag in DROP_TAGS, tag in TEXT_TAGS, tag in HEADINGS, tag in ("li", "ul", "ol", "td", "th", "table", "tr"), "#hidden" in tokens)
+            if odds is not None:
+                said = [odds[x] for x in self.buckets(k)]
+                low, high = (min(said), max(said)) if said else (0.0, 0.0)
+                above = out[p, LEARNT + 2 : LEARNT + 4] if p >= 0 else (0.0, 0.0)
+                row[LEARNT : LEARNT + 4] = (low, high, min(low, above[0]), max(high, above[1]))
             keep_above[k] += good > 0
             drop_above[k] += bad > 0
             row[:9] = (chars[k], links[k] / max(chars[k], 1), chars[k] / (tags[k] + 1), self.depth[k], max(offset[k], 0) / max(total, 1), chars[k] / max(total, 1), words[k] / max(runs[k], 1), marks[k] / max(words[k], 1), direct[k] / max(chars[k], 1))
@@ -251,6 +289,16 @@ class Page:
         return np.array([(-1 if u > 0.1 * (d + g + u) or d + g + u == 0 else int(g > 0.1 * (d + g))) for d, g, u in sums])
 
 
+def learnt_odds(pages: list[Page], labels: list[np.ndarray]) -> list[float]:
+    """For each bucket of hashed attribute tokens, the log odds that a labelled node which has one is kept."""
+    kept, dropped = np.ones(BUCKETS), np.ones(BUCKETS)
+    for page, label in zip(pages, labels, strict=True):
+        for k in np.flatnonzero(label >= 0).tolist():
+            for x in page.buckets(k):
+                (kept if label[k] else dropped)[x] += 1
+    return np.log(kept / dropped).tolist()
+
+
 class Trees:
     """Gradient-boosted regression trees with logistic loss, on binned features."""
 
@@ -362,16 +410,16 @@ def generated_page(rnd: random.Random) -> str:
 def fit(pages: list[str], seed: int = 7, generated: int = 300) -> Trees:
     """Trees trained on generated pages and on the weak labels of ``pages``."""
     rnd = random.Random(seed)
-    xs, ys = [], []
-    for source in [*(generated_page(rnd) for _ in range(generated)), *pages]:
-        page = Page(source)
-        x, y = page.features(), page.weak_labels()
-        xs.append(x[y >= 0])
-        ys.append(y[y >= 0])
-    x, y = np.concatenate(xs), np.concatenate(ys).astype(float)
+    read = [Page(source) for source in [*(generated_page(rnd) for _ in range(generated)), *pages]]
+    labels = [page.weak_labels() for page in read]
+    odds = learnt_odds(read, labels)
+    x = np.concatenate([page.features(odds)[y >= 0] for page, y in zip(read, labels, strict=True)])
+    y = np.concatenate([y[y >= 0] for y in labels]).astype(float)
     plain = x.copy()
     plain[:, SEMANTIC] = 0
-    return Trees(np.concatenate([x, plain]), np.concatenate([y, y]))
+    trees = Trees(np.concatenate([x, plain]), np.concatenate([y, y]))
+    trees.odds = odds
+    return trees
 
 
 def fit_table(pages: DataFrame, column: str = "html", key: str = "page_id", sample: int = SAMPLE_PAGES, longest: int = 200_000) -> Trees:
@@ -393,7 +441,7 @@ def extract(pages: DataFrame, trees: Trees, column: str = "html") -> DataFrame:
         for b in sliced(batches, rows=64):
             texts: list[str] = []
             read = [Page(s or "") for s in as_texts(b.column(b.num_columns - 1))]
-            features = [p.features() for p in read]
+            features = [p.features(model.odds) for p in read]
             keep = model.predict(np.concatenate(features))
             at = 0
             for page, f in zip(read, features, strict=True):
