@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word contracts: space and U+0009 to U+000D, which is what bytes.split() uses.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -82,6 +83,14 @@ def discard(*written: DataFrame) -> None:
         _remove(df.sparkSession, df._nestq_written[0])
 
 
+def integer_key(docs: DataFrame, key: str) -> Column:
+    """The id column as bigint, for operators that order documents by it."""
+    kind = docs.schema[key].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise ValueError(f"{key} must be an integer column, it is {kind.simpleString()}")
+    return F.col(f"`{key}`").cast("bigint")
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
