@@ -16,8 +16,10 @@ Two rules: ``drop_all`` drops every line whose key is in ``min_docs`` documents
 
 Null and empty texts are one empty line.  Keys below ``min_chars`` code points are never dropped.
 Rows that repeat id and text are one document (they share its bitmap); a null id is an id of its own,
-before all others.  An empty table gives an empty result.  Other columns pass through; internal names
-start with ``_ld_``.
+before all others.  Ids must be integers.  Of lines that tie on document and position (repeated rows) all are
+one line.  A text of any length is split line by line in its worker, which holds it once.  Ill-formed UTF-8
+becomes U+FFFD in the text that stays.  An empty table gives an empty result.  Other columns pass through,
+but for n_lines and n_dropped, which are replaced; internal names start with ``_ld_``.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestq.llm.common import WHITE, arrow_map, as_bytes, batch, cut, null_safe, sliced, table
+from nestq.llm.common import WHITE, arrow_map, as_bytes, batch, cut, integer_key, null_safe, sliced, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -50,7 +52,7 @@ def _ddl(schema: pa.Schema) -> str:
 def _identified(docs: DataFrame, text: str, key: str) -> DataFrame:
     """``docs`` with _ld_id and _ld_text_hash, which tell documents apart."""
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.withColumn("_ld_id", F.col(f"`{key}`").cast("bigint")).withColumn("_ld_text_hash", F.xxhash64(whole))
+    return docs.withColumn("_ld_id", integer_key(docs, key)).withColumn("_ld_text_hash", F.xxhash64(whole))
 
 
 def line_keys(docs: DataFrame, text: str, min_chars: int) -> DataFrame:

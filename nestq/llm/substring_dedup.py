@@ -20,7 +20,10 @@ on the input.
     Segments that share no half window to either side of the anchor with another are left out before.
 4.  Covered ranges are merged per document and cut out.
 
-Null and empty texts have no bytes.  Rows that repeat id and text are one document.  Rows that share
+A text above ``LONG_BYTES`` is walked in overlapping stretches, at about 50 bytes of memory a byte of a
+stretch.  Equal segments are told by 128 bits: the hash of the anchor and that of the segment.
+
+Null and empty texts have no bytes.  Ids must be integers.  Rows that repeat id and text are one document.  Rows that share
 only the id are ordered by the CRC-32 of their text.  A null id comes before all others and takes the
 smallest bigint's place internally.  An empty table gives an empty result; other columns pass through.
 Internal names start with ``_sd_``.
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestq.llm.common import arrow_map, as_bytes, batch, chunks, cut, sliced, small_enough, table
+from nestq.llm.common import arrow_map, as_bytes, batch, chunks, cut, integer_key, sliced, small_enough, table
 
 MIN_BYTES = 100
 KGRAM = 32
@@ -48,6 +51,8 @@ BLOCK_BYTES = 1 << 19
 BROADCAST_GROUPS = 100_000
 NULL_ID = -(1 << 63)
 FULL, REPRESENTATIVE = 0, 1
+#: Bytes of a text whose anchors are sought at once; positions in them take POSITION_BITS of a key.
+LONG_BYTES = 1 << 20
 POSITION_BITS = 28
 ANCHORS = pa.schema([("_sd_h", pa.int64()), ("_sd_seg", pa.int64()), ("_sd_id", pa.int64()), ("_sd_crc", pa.int64()), ("_sd_at", pa.int64())])
 MARKS = pa.schema([("_sd_kind", pa.int32()), ("_sd_h", pa.int64()), ("_sd_id", pa.int64()), ("_sd_crc", pa.int64()), ("_sd_at", pa.int64())])
@@ -121,6 +126,16 @@ def anchors(texts: list[bytes], min_bytes: int) -> tuple[np.ndarray, ...]:
     return row, key[at].view(np.int64), seg.view(np.int64), at - begins[row], left - begins[row], right - begins[row]
 
 
+def stretches(texts: list[bytes], min_bytes: int) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a chunk, at offset 0; or a long text in stretches that overlap by a window less a byte,
+    so that every window lies in one of them, with their offsets."""
+    if len(texts) > 1 or len(texts[0]) <= LONG_BYTES:
+        yield 0, texts
+        return
+    for offset in range(0, max(1, len(texts[0]) - min_bytes + 1), LONG_BYTES):
+        yield offset, [texts[0][offset : offset + LONG_BYTES + min_bytes - 1]]
+
+
 def pack(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Position, bytes before it and bytes from it on, in one number that sorts by position."""
     return at << 24 | (at - left) << 12 | (right - at)
@@ -133,7 +148,7 @@ def unpack(packed):
 
 def _identified(docs: DataFrame, text: str, key: str) -> DataFrame:
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
-    return docs.withColumn("_sd_id", F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(NULL_ID))).withColumn("_sd_text", whole).withColumn("_sd_crc", F.crc32("_sd_text"))
+    return docs.withColumn("_sd_id", F.coalesce(integer_key(docs, key), F.lit(NULL_ID))).withColumn("_sd_text", whole).withColumn("_sd_crc", F.crc32("_sd_text"))
 
 
 def anchor_rows(docs: DataFrame, min_bytes: int) -> DataFrame:
@@ -142,8 +157,9 @@ def anchor_rows(docs: DataFrame, min_bytes: int) -> DataFrame:
             texts = as_bytes(b.column(2))
             ids, crcs = b.column(0).to_numpy(), b.column(1).to_numpy()
             for start, end in chunks(texts):
-                row, h, seg, at, left, right = anchors(texts[start:end], min_bytes)
-                yield batch(ANCHORS, pa.array(h), pa.array(seg), pa.array(ids[start:end][row]), pa.array(crcs[start:end][row]), pa.array(pack(at, left, right)))
+                for offset, part in stretches(texts[start:end], min_bytes):
+                    row, h, seg, at, left, right = anchors(part, min_bytes)
+                    yield batch(ANCHORS, pa.array(h), pa.array(seg), pa.array(ids[start:end][row]), pa.array(crcs[start:end][row]), pa.array(pack(at + offset, left + offset, right + offset)))
 
     # distinct rows of one document would be each other's earlier copy at equal places; runs drop those below
     return arrow_map(docs.select("_sd_id", "_sd_crc", "_sd_text"), run, _ddl(ANCHORS))

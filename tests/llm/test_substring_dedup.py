@@ -81,3 +81,29 @@ def test_window_classes_match_sorting():
             if i < 640:
                 found.setdefault(c, set()).add(windows[i])
         assert all(len(v) == 1 for v in found.values()) and len(found) == len(set(windows))
+
+
+@pytest.mark.parametrize("limit", [150, 333])
+def test_stretches_of_long_texts_change_nothing(spark, prose, monkeypatch, limit):
+    """The same result whatever the length from which a text is walked in stretches."""
+    rows = corpus(prose, 5)
+    docs = [(i, t) for i, t in rows if i is not None][:60] + [(500, prose(77, 200)), (501, "x" + prose(77, 200)[150:900] + "y"), (502, "ab" * 400)]
+    texts = [(t or "").encode() for _, t in docs]
+    monkeypatch.setattr(sd, "LONG_BYTES", limit)
+    windows = {}
+    for text in texts:
+        for offset, part in sd.stretches([text], 100):
+            _, _, _, at, left, right = sd.anchors(part, 100)
+            for a, b in zip((left + offset).tolist(), (right + offset).tolist(), strict=True):
+                windows.setdefault(text, set()).update(range(a, b - 99))
+    for text in texts:
+        assert windows.get(text, set()) == set(range(max(0, len(text) - 99)))
+
+
+def test_ids_must_be_integers_and_names_may_clash(spark, prose):
+    rows = [("a1", prose(1, 40), "n", "k")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n_bytes string, kept string")
+    with pytest.raises(ValueError, match="integer"):
+        sd.dedup_substrings(df)
+    got = sd.dedup_substrings(df.selectExpr("cast(1 as int) as doc_id", "text", "n_bytes", "kept", "'o' as n_other")).first()
+    assert got.n_other == "o" and got.n_bytes == len(rows[0][1].encode()) and bytes(got.kept) == rows[0][1].encode()
