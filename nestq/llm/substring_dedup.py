@@ -291,6 +291,11 @@ def block_ranges(segments: list[bytes], ids: np.ndarray, crcs: np.ndarray, start
     inside = order - begins[segment]
     valid = inside + least <= sizes[segment]
     segment, inside, classes = segment[valid], inside[valid], classes[valid]
+    equal = classes[1:] == classes[:-1]
+    shared = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])  # windows alone in their class go nowhere
+    segment, inside, classes = segment[shared], inside[shared], classes[shared]
+    if not len(segment):
+        return (np.zeros(0, np.int64),) * 3
     first = np.lexsort((starts[segment] + inside, crcs[segment], ids[segment], classes))
     segment, inside, classes = segment[first], inside[first], classes[first]
     place = starts[segment] + inside
