@@ -268,8 +268,14 @@ def window_classes(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
         size = high - low
         owner = np.repeat(np.arange(len(low)), size)
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-        reached = np.sort(lf[inside] << 32 | owner)
-        place, owner = reached >> 32, reached & 0xFFFFFFFF
+        if len(inside) * 8 > n:  # places are distinct: writing to them sorts them
+            owners = np.full(n, -1, np.int32)
+            owners[lf[inside]] = owner
+            place = np.flatnonzero(owners >= 0)
+            owner = owners[place]
+        else:
+            reached = np.sort(lf[inside] << 32 | owner)
+            place, owner = reached >> 32, reached & 0xFFFFFFFF
         edge = np.flatnonzero((owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | (symbol_at[place[1:]] != symbol_at[place[:-1]])) + 1
         new_low, new_high = place[np.concatenate([[0], edge])], place[np.concatenate([edge - 1, [len(place) - 1]])] + 1
         fresh = ~known[new_high]
