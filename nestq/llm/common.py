@@ -97,8 +97,15 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with fixed-width offsets, whatever the session prefers."""
-    return df.mapInArrow(fn, schema)
+    """mapInArrow, which by itself can't take columns with dots in their names."""
+    names = df.columns
+    if not any("." in n for n in names):
+        return df.mapInArrow(fn, schema)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(named, schema)
 
 
 def as_texts(column: pa.Array) -> list[str | None]:

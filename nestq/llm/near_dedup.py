@@ -22,7 +22,9 @@ A pair at the threshold of 0.85 misses every band with probability (1 - 0.85^5)^
 
 Texts without words have an empty set, are linked with nothing and form their own component.  A null id
 never is the smallest of a component, unless all ids of it are null.  Repeated rows are equal sets.  An
-empty table gives an empty result.  Other columns pass through; internal names start with ``_nd_``.
+empty table gives an empty result.  Ids may be of any type that has an order.  A text of any length is one
+array of words in its worker.  Other columns pass through, but for those of the result's names, which are
+replaced; internal names start with ``_nd_``.
 """
 
 from __future__ import annotations
@@ -338,7 +340,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     out = marked.join(stay, "_nd_row", "left_semi")
     if not linked.groupBy("_nd_row").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["_nd_row"])
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,17 @@ a join on the host, which adaptive execution splits where a host is large.
 
 Null or empty texts have no words and fail the base rule.  A null host is no host: its documents are
 judged alone.  Repeated rows are judged and counted each.  An empty table gives an empty result.
+Of equal windows and lines all but the first line count as repeats, all windows do.  The windows of texts with more than
+``LONG_WORDS`` words are ranked in arrays, with equal results.  Ids of any type and other columns pass
+through; columns of the result's names are replaced, internal names start with ``_quality_``.  Ill-formed
+UTF-8 is read as U+FFFD.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +41,13 @@ BROADCAST_HOSTS = 100_000
 #: Pseudo-documents that the prior counts as, at most.
 MOST_STRENGTH = 1000.0
 WINDOW = 5
+LONG_WORDS = 50_000
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words covered by a window of ``window`` words that the text has twice or more."""
+    if len(words) > LONG_WORDS:
+        return _repeated_in_arrays(words, window)
     grams = list(zip(*(words[i:] for i in range(window))))  # noqa: B905  shorter ones end it
     if len(set(grams)) == len(grams):
         return 0
@@ -54,6 +62,20 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return covered
 
 
+def _repeated_in_arrays(words: list[bytes], window: int) -> int:
+    """The same for long texts: words are numbered, windows ranked by one word more at a time."""
+    known: dict[bytes, int] = {}
+    codes = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    n = len(codes) - window + 1
+    rank = codes[:n]
+    for k in range(1, window):
+        rank = np.unique(rank * len(known) + codes[k : k + n], return_inverse=True)[1]
+    starts = np.flatnonzero(np.bincount(rank)[rank] > 1)
+    if not len(starts):
+        return 0
+    return window + int(np.minimum(np.diff(starts), window).sum())
+
+
 def statistics(text: str) -> tuple[int, int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_with_words."""
     data = text.encode()
@@ -86,7 +108,7 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
     """Per host: documents, and for each rule its failures and its rate shrunk by the empirical prior."""
-    sums = judged.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
+    sums = judged.where(F.col(f"`{host}`").isNotNull()).groupBy(F.col(f"`{host}`").alias("host")).agg(
         F.count("*").alias("n_docs"), *(F.sum(F.col(f"failed_{r}").cast("bigint")).alias(f"n_{r}") for r in RULES)
     )
     sums = cut(sums, "host-sums")
@@ -117,11 +139,11 @@ def prior(hosts: int, docs: int, failures: int, squares: float) -> tuple[float,
 def judge(docs: DataFrame, text: str = "text", host: str = "source", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """The rows of ``docs`` without text, with statistics, base_failed, host_failed and kept."""
     judged = cut(document_rules(docs, text), "rules")
-    failed = cut(host_rates(judged, host).where(" or ".join(f"rate_{r} > {limit}" for r, (_, limit) in RULES.items())).select(F.col("host").alias("_failed_host")), "hosts")
+    failed = cut(host_rates(judged, host).where(" or ".join(f"rate_{r} > {limit}" for r, (_, limit) in RULES.items())).select(F.col("host").alias("_quality_host")), "hosts")
     # decided on the verdicts written, which are no more than the hosts
     verdicts = F.broadcast(failed) if small_enough(failed, broadcast_hosts) else failed
-    joined = judged.join(verdicts, F.col(host) == F.col("_failed_host"), "left")
-    return joined.withColumn("host_failed", F.col("_failed_host").isNotNull()).drop("_failed_host").withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
+    joined = judged.join(verdicts, F.col(f"`{host}`") == F.col("_quality_host"), "left")
+    return joined.withColumn("host_failed", F.col("_quality_host").isNotNull()).drop("_quality_host").withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,22 @@ def test_deduplicate_keeps_one_row_of_each_component(spark, prose):
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     got = sorted((r.doc_id or 0, r.kept) for r in nd.deduplicate(df).collect())
     assert got == [(0, "n"), (3, "y"), (7, "z"), (8, "e"), (9, "e")]
+
+
+def test_clashing_columns_and_ids_of_any_type(spark, prose):
+    a, b = prose(1, 60), prose(2, 60)
+    names = ["c", "sig", "lowest", "root", "bucket", "place", "component_id", "n_shingles", "a.b"]
+    rows = [("x1", a, *names), ("x2", a, *names), ("x0", a + " end", *names), ("y", b, *names), (None, None, *[None] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id string, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = {r.doc_id: r for r in nd.link(df).collect()}
+    assert {k: r.component_id for k, r in got.items()} == {"x0": "x0", "x1": "x0", "x2": "x0", "y": "y", None: None}
+    assert got["x1"].sig == "sig" and got["y"]["a.b"] == "a.b" and got[None].n_shingles == 0
+    kept = nd.deduplicate(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {"x0", "y", None}
+
+
+def test_a_very_long_text(spark, prose):
+    long = prose(3, 120_000)
+    rows = [(1, long), (2, long.replace(" ", "\n") + " more"), (3, prose(4, 50))]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, nd.SHINGLE, nd.THRESHOLD_PERCENT)

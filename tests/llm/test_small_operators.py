@@ -245,6 +245,23 @@ def test_statistics_equal_brute_force(prose):
         assert quality_rules.statistics(t) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), len(lines))
 
 
+def test_statistics_of_long_texts(monkeypatch, prose):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 200))) for _ in range(60)] + [prose(7, 400), "x " * 50, "a b c d e f g"]
+    short = [quality_rules.statistics(t) for t in texts]
+    monkeypatch.setattr(quality_rules, "LONG_WORDS", 4)
+    assert [quality_rules.statistics(t) for t in texts] == short
+    monkeypatch.undo()
+    assert quality_rules.statistics(prose(1, 60_000) + " one two three four five" * 2)[4] >= 10
+
+
+def test_quality_of_clashing_columns_and_null_ids(spark, prose):
+    df = spark.createDataFrame([("k1", prose(1, 40), "a", 1, 1, "f"), (None, None, None, None, None, None), (None, None, None, None, None, None)], "doc_id string, text string, `so.urce` string, n_words long, host long, _failed_host string")
+    got = quality_rules.judge(df, host="so.urce").collect()
+    assert sorted((r.doc_id or "", r.n_words, r.kept, r._failed_host) for r in got if r.doc_id) == [("k1", 40, True, "f")]
+    assert len(got) == 3 and not any(r.kept for r in got if r.doc_id is None)
+
+
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_host_verdicts(spark, prose, limit):
     good = [(i, prose(i, 40), f"h{i % 5}") for i in range(100)]
