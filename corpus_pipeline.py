@@ -16,14 +16,14 @@ from nestq.llm.common import cut, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a sufficient margin; a missing label is filled in."""
     found = language_id.identify(docs, language_id.fit(docs)).where(~F.col("lang_rejected"))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many of them share, each of which stays where it comes first:
     a group of many copies keeps one document with its text."""
     found = line_dedup.dedup_lines(docs, keep_first=True)
-    return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
