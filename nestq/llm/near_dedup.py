@@ -49,6 +49,8 @@ MISS = 1e-6
 #: Classes of one bucket that are compared in a block.
 BLOCK_ROWS = 1500
 SIGNATURE = BANDS * ROWS
+#: Documents for each file of a step that is written.
+FILE_ROWS = 2000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -155,6 +157,18 @@ def sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return arrow_map(rows, run, schema)
 
 
+def written(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``cut`` in as many files as ``rows`` documents take where Spark itself merges no small partitions.
+
+    A file on a local file system starts processes (chmod, without Hadoop's native library), each of which
+    for an instant counts with all of an executor's memory.
+    """
+    conf = df.sparkSession.conf
+    merges = conf.get("spark.sql.adaptive.enabled") == conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+    files = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+    return cut(df if merges or files >= int(conf.get("spark.sql.shuffle.partitions")) else df.repartition(files), name)
+
+
 def _class() -> F.Column:
     return F.struct("_nd_c1", "_nd_c2")
 
@@ -183,7 +197,7 @@ def passed(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
     return arrow_map(both, run, f"a {CLASS}, b {CLASS}")
 
 
-def full_sets(needed: DataFrame, docs: DataFrame, members: DataFrame, text: str, shingle: int) -> DataFrame:
+def full_sets(needed: DataFrame, docs: DataFrame, members: DataFrame, text: str, shingle: int, rows: int) -> DataFrame:
     """(c, shingles) of the classes in ``needed``.  members: (c, place), a row of ``docs`` for each class."""
     places = members.join(needed.distinct(), "c")
     texts = docs.select("_nd_row", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_nd_text")).join(places.select(F.col("place").alias("_nd_row"), "c"), "_nd_row").select("c", "_nd_text")
@@ -200,7 +214,7 @@ def full_sets(needed: DataFrame, docs: DataFrame, members: DataFrame, text: str,
                     stay.append(i)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(stay, pa.int64())), pa.array(found, pa.binary())], names=["c", "shingles"])
 
-    return cut(arrow_map(texts, shingled, f"c {CLASS}, shingles binary"), "near-sets").dropDuplicates(["c"])
+    return written(arrow_map(texts, shingled, f"c {CLASS}, shingles binary"), "near-sets", rows).dropDuplicates(["c"])
 
 
 def linked_sets(x: bytes, y: bytes, percent: int) -> bool:
@@ -213,13 +227,13 @@ def linked_sets(x: bytes, y: bytes, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str, shingle: int, percent: int, rows: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
-    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")), docs, members, text, shingle)
+    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")), docs, members, text, shingle, rows)
     both = pairs.join(full.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b").join(full.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2):
             stay = [i for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) if linked_sets(x, y, percent)]
             at = pa.array(stay, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
@@ -227,25 +241,31 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str, s
     return arrow_map(both, exact, f"a {CLASS}, b {CLASS}")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(c, root) for every class that has a link; root is the smallest class of its component."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+def components(links: DataFrame, rows: int) -> DataFrame:
+    """(c, root) for every class that has a link; root is the smallest class of its component.
+
+    A round is written once, and the last is known by its form.
+    """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     while True:
         # large star: all larger neighbours of a node, to the smallest of node and neighbours
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large, "large-star")
         # small star: all smaller neighbours and the node itself, to the smallest
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        small = cut(small, "small-star")
-        same = edges.select(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).first() == small.select(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).first()
-        edges = small
-        if same:
+        edges = written(small, "edges", rows)
+        if are_stars(edges):
             return edges.select(F.col("u").alias("c"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("root")).distinct())
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each u of the distinct edges (u, v) has a single v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("u"), F.lit(0).alias("v")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("u"), F.lit(1).alias("v")))
+    return ends.groupBy("node").agg(F.sum("u").alias("u"), F.max("v").alias("v")).where("u > 1 OR u = 1 AND v = 1").isEmpty()
+
+
 def compared(rest: DataFrame, least: list[int], percent: int) -> DataFrame:
     """Verified links between components of a bucket; rest: (bucket, band, n, c, root, sig, shingles)."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int")
@@ -303,21 +323,23 @@ def _linked(docs: DataFrame, text: str, key: str, shingle: int, threshold_percen
     row = F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit("\x00"), F.col(f"`{text}`").cast("string"))
     source = docs.withColumn("_nd_row", row)
     features = cut(sets(source.select(*(F.col(f"`{c}`") for c in others), "_nd_row", F.col(f"`{text}`").alias("_nd_source")), "_nd_source", shingle), "near-features")
+    rows = features.count()
     grouped = features.where("_nd_n > 0").groupBy("_nd_c1", "_nd_c2").agg(F.min(F.col(f"`{key}`")).alias("lowest"), F.min("_nd_row").alias("place"), F.min("_nd_sig").alias("sig"))
-    classes = cut(grouped.select(_class().alias("c"), "lowest", "place", "sig"), "near-classes")
+    classes = written(grouped.select(_class().alias("c"), "lowest", "place", "sig"), "near-classes", rows)
     banded = buckets(classes)
     lead = banded.groupBy("bucket").agg(F.min("c").alias("a"), F.count("*").alias("n")).where("n > 1")
-    full = cut(banded.join(lead, "bucket"), "near-buckets")
+    full = written(banded.join(lead, "bucket"), "near-buckets", rows)
     stars = full.where("a != c").select("a", F.col("c").alias("b")).distinct()
-    links = cut(verified(cut(passed(stars, classes, least), "near-pairs"), source, classes.select("c", "place"), text, shingle, threshold_percent), "near-links")
-    roots = cut(components(links), "near-roots")
+    pairs = written(passed(stars, classes, least), "near-pairs", rows)
+    links = written(verified(pairs, source, classes.select("c", "place"), text, shingle, threshold_percent, rows), "near-links", rows)
+    roots = components(links, rows)
     labelled = full.join(roots, "c", "left").select("bucket", "band", "n", "c", F.coalesce("root", "c").alias("root"))
     open_ = labelled.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("bucket")
-    rest = cut(labelled.join(open_, "bucket", "left_semi"), "near-open")
+    rest = written(labelled.join(open_, "bucket", "left_semi"), "near-open", rows)
     if not rest.isEmpty():
-        sized = full_sets(rest.select("c"), source, classes.select("c", "place"), text, shingle).join(classes.select("c", "sig"), "c")
-        more = cut(compared(rest.join(sized, "c"), least, threshold_percent), "near-rest")
-        roots = cut(components(links.unionByName(more)), "near-roots")
+        sized = full_sets(rest.select("c"), source, classes.select("c", "place"), text, shingle, rows).join(classes.select("c", "sig"), "c")
+        more = written(compared(rest.join(sized, "c"), least, threshold_percent), "near-rest", rows)
+        roots = components(links.unionByName(more), rows)
     rooted = classes.select("c", "lowest").join(roots, "c", "left").select("c", "lowest", F.coalesce("root", "c").alias("root"))
     names = rooted.groupBy("root").agg(F.min("lowest").alias("component_id"))
     known = rooted.join(names, "root").select(F.col("c._nd_c1").alias("_nd_c1"), F.col("c._nd_c2").alias("_nd_c2"), "component_id", F.col("root").alias("_nd_root"))

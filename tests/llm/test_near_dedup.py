@@ -99,3 +99,39 @@ def test_a_very_long_text(spark, prose):
     rows = [(1, long), (2, long.replace(" ", "\n") + " more"), (3, prose(4, 50))]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows, nd.SHINGLE, nd.THRESHOLD_PERCENT)
+
+
+def test_components_are_written_once_a_round(spark, monkeypatch):
+    rnd = random.Random(5)
+    pairs = {(i, i + 1) for i in range(40)} | {(100, 100 + i) for i in range(1, 60)} | {tuple(sorted(rnd.sample(range(300, 420), 2))) for _ in range(70)}
+    root = {i: i for p in pairs for i in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    written, rounds = [], []
+    cut, stars = nd.cut, nd.are_stars
+    monkeypatch.setattr(nd, "cut", lambda df, name: written.append(name) or cut(df, name))
+    monkeypatch.setattr(nd, "are_stars", lambda edges: rounds.append(stars(edges)) or rounds[-1])
+    made = spark.createDataFrame([((0, a), (0, b)) for a, b in pairs], f"a {nd.CLASS}, b {nd.CLASS}")
+    got = [(r.c._nd_c2, r.root._nd_c2) for r in nd.components(made, 500).collect()]
+    assert sorted(got) == sorted(root.items()) and len(written) == len(rounds)
+    written.clear()
+    star = made.where("a._nd_c2 = 100")
+    assert {r.root._nd_c2 for r in nd.components(star, 500).collect()} == {100} and written == ["edges"]
+    assert nd.components(made.limit(0), 0).count() == 0
+
+
+def test_small_steps_are_few_files(spark, prose, monkeypatch):
+    rows, files = corpus(prose, 7), []
+    cut = nd.cut
+    monkeypatch.setattr(nd, "cut", lambda df, name: [made := cut(df, name), name == "near-features" or files.append(len(made.inputFiles()))][0])
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("40", "false"), strict=True):
+            spark.conf.set(n, v)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.link(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, threshold_percent=85).collect()}
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert got == brute(rows, 3, 85) and len(files) > 5 and max(files) <= spark.sparkContext.defaultParallelism
