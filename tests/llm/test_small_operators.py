@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,3 +383,40 @@ def test_pipeline_keeps_one_text_of_many_copies(spark, prose):
     got = {r.doc_id: r.text for r in cp.dedup_near(spark, cp.dedup_lines(spark, docs, ""), "").collect()}
     assert [i for i, t in got.items() if t == text] == [0]
     assert all(got[100 + i] == rows[12 + i][1] for i in range(5))
+
+
+def test_pipeline_stages_hand_python_small_batches(spark, prose):
+    import corpus_pipeline as cp
+
+    from nestq.llm.common import BATCH_BYTES, BATCH_ROWS
+
+    def seen(df):
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+        return [r.n for r in df.mapInArrow(sizes, "n long").collect()]
+
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(x) for x in names]
+    docs = spark.createDataFrame([(i, prose(i, 12), "en", "web", 1) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    many, long = spark.range(0, 12_000, 1, 1), spark.range(0, 24, 1, 1).selectExpr("repeat('abcdefgh', 131072) AS text")
+    try:
+        for _, stage in cp.STAGES:
+            for x in names:
+                spark.conf.unset(x)
+            stage(spark, docs, "/root/testdata/sf0.001")
+            got = seen(many)
+            assert sum(got) == 12_000 and max(got) <= BATCH_ROWS
+            got = seen(long)
+            assert sum(got) == 24 and max(got) <= (BATCH_BYTES >> 20) + 1
+        spark.conf.set(names[0], "100")
+        spark.conf.set(names[1], "1m")
+        cp.identify_language(spark, docs, "")
+        assert [spark.conf.get(x) for x in names] == ["100", "1m"]
+        spark.conf.set(names[0], "0")  # no bound
+        cp.identify_language(spark, docs, "")
+        assert spark.conf.get(names[0]) == str(BATCH_ROWS)
+    finally:
+        for x, value in zip(names, before, strict=True):
+            spark.conf.set(x, value)
